@@ -95,8 +95,6 @@ def _square(name: str) -> Column:
 def sender_history(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), counterparties: bool = True,
                    hot: HotKeys | None = None) -> DataFrame:
     """Raw ``s_*`` aggregates over the sender's earlier rows; the feature stages are projections of them."""
-    if hot is None:
-        hot = hot_accounts(df, "from_account", cfg)
     running = {
         "s_count": ("sum", F.lit(1).cast("long")), "s_total": ("sum", F.col("amount_paid")),
         "s_squares": ("sum", _square("amount_paid")), "s_max": ("max", F.col("amount_paid")), "s_min": ("min", F.col("amount_paid"))}
@@ -120,14 +118,17 @@ def sender_history(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), counterp
 
 
 def receiver_history(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), hot: HotKeys | None = None) -> DataFrame:
-    if hot is None:
-        hot = hot_accounts(df, "to_account", cfg)
     return over_history(
         df, "to_account", ORDER, hot=hot, chunks=cfg.chunks, depth=1,
         running={"r_count": ("sum", F.lit(1).cast("long")), "r_total": ("sum", F.col("amount_received"))},
         frames={"r_last_ts": lambda w: F.lag("ts", 1).over(w)})
 
 
+def both_histories(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), counterparties: bool = True) -> DataFrame:
+    sent = sender_history(df, cfg, counterparties, hot_accounts(df, "from_account", cfg))
+    return receiver_history(sent, cfg, hot_accounts(df, "to_account", cfg))
+
+
 def stage3_behavioural(df: DataFrame) -> DataFrame:
     count, paid, received = or_zero("s_count"), or_zero("s_total"), or_zero("r_total")
     average = safe_ratio(paid, count)
@@ -232,7 +233,7 @@ def stage6_volume_ratios(df: DataFrame) -> DataFrame:
 def build_feature_store(tx: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Keys, the 61 model features and the label."""
     base = stage2_temporal(stage1_transaction(stage1_format_frequency(tx), cfg), cfg)
-    raw = time_order_history(receiver_history(sender_history(base, cfg), cfg), cfg)
+    raw = time_order_history(both_histories(base, cfg), cfg)
     out = stage3_behavioural(raw)
     for stage in (stage5_account_spread, stage5_global_zscore, stage6_label_rates, stage6_volume_ratios, stage7_network):
         out = stage(out)

@@ -108,12 +108,14 @@ def over_history(df: DataFrame, keys: str | Sequence[str], order: Sequence[str],
         *[build(w).alias(name) for name, build in frames.items()])
     if hot is None:
         return result
-    laid = lay_out(hot.hot_part(df), [*keys, *order], chunks)
-    return result.unionByName(_over_chunks(laid, df.columns, keys, order, running, frames, depth, ahead))
+    return result.unionByName(over_chunks(hot.hot_part(df), keys, order, running, frames, depth, ahead, chunks))
 
 
-def _over_chunks(laid: DataFrame, columns: Sequence[str], keys: list[str], order: Sequence[str], running: dict,
-                 frames: dict, depth: int, ahead: int) -> DataFrame:
+def over_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], running: Running, frames: Frames | None = None,
+                depth: int = 0, ahead: int = 0, chunks: int | None = None) -> DataFrame:
+    """``over_history`` for a table whose keys are all oversized: every key is laid out in chunks."""
+    keys, columns, frames = list(keys), df.columns, dict(frames or {})
+    laid = lay_out(df, [*keys, *order], chunks)
     rows = laid.select(
         *columns, "_chunk", F.lit(1).alias("_kind"), *[value.alias(f"_in_{n}") for n, (_, value) in running.items()])
     parts = [rows]
