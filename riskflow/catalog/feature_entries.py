@@ -12,7 +12,7 @@ from riskflow.session import materialize
 from riskflow.sources.star_tables import transactions
 
 CFG = f.FeatureConfig()
-SPLIT = f.FeatureConfig(hot_limit=60, chunks=24)
+SPLIT = f.FeatureConfig(hot_limit=70, chunks=8)
 TRIG = {"sin_hour", "cos_hour", "sin_day", "cos_day", "log_amount"}
 _STORES = {}
 
@@ -80,7 +80,7 @@ stage("f18_differences", lambda tx: f.stage8_rolling(sender(tx)), *F18, columns=
 stage("f19_volume_ratios", lambda tx: f.stage6_volume_ratios(f.time_order_history(sender(tx))),
       "bank_volume_ratio", "payment_format_volume_ratio", "currency_volume_ratio", columns=[*TIME, "from_account", "to_account"])
 
-# every account with more than 60 rows laid out in chunks: the results must not change
+# every account with more than 70 rows laid out in chunks: the results must not change
 stage("f6_f18_hot_keys", lambda tx: f.stage8_rolling(f.stage7_network(f.stage5_account_spread(f.stage4_velocity(f.stage3_behavioural(
     both(tx, SPLIT, True)))))), *F6, *F7, *F8, *F9, *F10, *F12, "unique_counterparties", *F16, *F17, *F18, columns=BOTH)
 

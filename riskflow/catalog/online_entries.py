@@ -11,7 +11,7 @@ from riskflow.plans.analytics import account_state_lookup
 from riskflow.sources.files import new_history_rows
 from riskflow.sources.star_tables import table, transactions
 
-SPLIT = FeatureConfig(hot_limit=60, chunks=24)
+SPLIT = FeatureConfig(hot_limit=70, chunks=8)
 
 
 def events(spark, sf):

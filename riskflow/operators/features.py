@@ -19,6 +19,7 @@ from riskflow.operators.ordered import (
     HotKeys, first_of_pair, global_index, lay_out, locate_hot_keys, over_history, scan,
 )
 from riskflow.operators.registry import FEATURE_NAMES, MODEL_ORDER
+from riskflow.session import materialize
 from riskflow.schema import EPSILON, HIGH_VALUE, NO_PREVIOUS_SECONDS
 
 ORDER = ["ts", "transaction_id"]
@@ -125,8 +126,10 @@ def receiver_history(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), hot: H
 
 
 def both_histories(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), counterparties: bool = True) -> DataFrame:
-    sent = sender_history(df, cfg, counterparties, hot_accounts(df, "from_account", cfg))
-    return receiver_history(sent, cfg, hot_accounts(df, "to_account", cfg))
+    sender, receiver = hot_accounts(df, "from_account", cfg), hot_accounts(df, "to_account", cfg)
+    sent = sender_history(df, cfg, counterparties, sender)
+    # a split reads its input several times, so what was already computed is written once in between
+    return receiver_history(sent if receiver is None else materialize(sent), cfg, receiver)
 
 
 def stage3_behavioural(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from riskflow.operators.features import (
 )
 from riskflow.operators.ordered import first_of_pair, over_history
 from riskflow.operators.velocity import with_previous_time
+from riskflow.session import materialize
 
 SHORT, LONG = 5, 20
 
@@ -76,9 +77,12 @@ def online_features(tx: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Data
     cold = float(cfg.cold_start_delta)
     sender, receiver = hot_accounts(tx, "from_account", cfg), hot_accounts(tx, "to_account", cfg)
     out = stage2_temporal(stage1_transaction(tx, cfg), cfg)
-    out = with_previous_time(sender_history(out, cfg, hot=sender), "from_account", "seconds_since_last_tx", cold, hot=sender, chunks=cfg.chunks)
-    out = with_previous_time(receiver_history(out, cfg, hot=receiver), "to_account", "receiver_seconds_since_last_tx", cold,
-                             hot=receiver, chunks=cfg.chunks)
+    for key, history, hot, gap in (("from_account", sender_history, sender, "seconds_since_last_tx"),
+                                   ("to_account", receiver_history, receiver, "receiver_seconds_since_last_tx")):
+        # a split reads its input several times, so each computed step is written once before the next
+        keep = materialize if hot is not None else (lambda df: df)
+        out = with_previous_time(keep(history(out, cfg, hot=hot)), key, gap, cold, hot=hot, chunks=cfg.chunks)
+        out = keep(out)
     return rolling(behavioural(rapid_flags(out, cfg)))
 
 
