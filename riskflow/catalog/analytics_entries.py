@@ -3,6 +3,7 @@
 from riskflow.catalog.registry import big, pct, register, rounded, total, with_tx
 from riskflow.plans import analytics as a
 from riskflow.plans.load import staged_warehouse
+from riskflow.plans.suite import run_suite
 from riskflow.sources.star_tables import transactions
 
 DAY = "CAST(ts AS DATE)"
@@ -212,3 +213,29 @@ _warehouse("a40_probe_join", a.probe_join,
 _warehouse("a40_probe_key_range", lambda w: a.probe_key_range(w, 199901010000),
            f"""SELECT transaction_id, CAST(amount_paid AS DOUBLE) AS amount_paid, date_trunc('minute', ts) AS full_timestamp FROM tx
                WHERE {TIME_KEY} >= 199901010000 AND is_laundering = 1""")
+
+
+def a31_views(spark, sf):
+    """All reporting views are created, then one is read back through SQL."""
+    a.create_views(staged_warehouse(spark, sf))
+    return spark.sql("SELECT bank_name, total_processed_tx, total_volume_usd FROM vw_bank_risk WHERE total_processed_tx > 10")
+
+
+register("a31_views_through_sql", a31_views, with_tx(
+    f"SELECT {BANK_FROM} AS bank_name, {N} AS total_processed_tx, {VOLUME} AS total_volume_usd FROM tx GROUP BY 1 HAVING COUNT(*) > 10"))
+
+
+def a41_suite(spark, sf):
+    """Five queries of the suite and one that cannot be built."""
+    names = ["q01_kpi_totals", "q08_daily_trend", "q18_repeat_offenders", "q31_one_to_many", "q45_rolling_fraud"]
+    builders = {name: (lambda name=name: a.QUERIES[name](staged_warehouse(spark, sf))) for name in names}
+    builders["broken"] = lambda: staged_warehouse(spark, sf).fact.select("no_such_column")
+    return run_suite(spark, builders)[1].select("query_name", "row_count", "column_count", "status")
+
+
+register("a41_suite_status", a41_suite, with_tx(f"""
+    SELECT 'q01_kpi_totals' AS query_name, 1 AS row_count, 7 AS column_count, 'SUCCESS' AS status
+    UNION ALL SELECT 'q08_daily_trend', COUNT(DISTINCT {DAY}), 5, 'SUCCESS' FROM tx
+    UNION ALL SELECT 'q18_repeat_offenders', COUNT(*), 3, 'SUCCESS' FROM (SELECT 1 FROM tx WHERE is_laundering = 1 GROUP BY from_account HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'q31_one_to_many', COUNT(*), 4, 'SUCCESS' FROM (SELECT 1 FROM tx GROUP BY from_account HAVING COUNT(DISTINCT to_account) > 3)
+    UNION ALL SELECT 'q45_rolling_fraud', COUNT(DISTINCT {DAY}), 3, 'SUCCESS' FROM tx UNION ALL SELECT 'broken', NULL, NULL, 'FAILED'"""))

@@ -504,10 +504,10 @@ GRAPH = ["transaction_id", "ts", "from_account", "to_account", "amount_paid", "i
 
 
 def flagged_edges(spark, sf):
-    return g.build_edges(transactions(spark, sf, GRAPH).where((F.col("is_laundering") == 1) & (F.col("amount_paid") > 90_000)))
+    return g.build_edges(transactions(spark, sf, GRAPH).where(F.col("is_laundering") == 1))
 
 
-EDGES = "ed AS (SELECT DISTINCT from_account AS src, to_account AS dst FROM tx WHERE is_laundering = 1 AND amount_paid > 90000 AND from_account <> to_account)"
+EDGES = "ed AS (SELECT DISTINCT from_account AS src, to_account AS dst FROM tx WHERE is_laundering = 1 AND from_account <> to_account)"
 CYCLES = """RECURSIVE tx AS (""" + TX_SQL + f"""), {EDGES},
     pa AS (SELECT src AS s, dst AS last, [src, dst] AS path FROM ed WHERE dst > src
       UNION ALL SELECT s, dst, list_append(path, dst) FROM pa JOIN ed ON src = last WHERE dst > s AND NOT list_contains(path, dst) AND len(path) < 5),

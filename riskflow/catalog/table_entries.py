@@ -1,7 +1,5 @@
 """Sources, cleaning, quality and warehouse operators over the given tables."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from riskflow.catalog.registry import TX_SQL, big, pct, register, rounded, total, with_tx
@@ -430,3 +428,23 @@ register("w15_etl_run", w15, with_tx(
 _tx("w16_flat_variant", lambda tx: w.flat_transactions(tx).groupBy("tx_date", "from_bank").agg(
     F.count(F.lit(1)).alias("tx_count"), F.sum("amount_paid").cast("double").alias("paid")),
     f"SELECT CAST(ts AS DATE) AS tx_date, from_bank, {N} AS tx_count, {total('amount_paid')} AS paid FROM tx GROUP BY 1, 2")
+
+
+def s10_report(spark, sf):
+    """A metric table written as one JSON artefact and read back."""
+    path = _fresh(spark, sf, "report")
+    files.write_report(q.format_distribution(transactions(spark, sf, ["payment_format"])), path)
+    return spark.read.schema("payment_format string, tx_count long").json(path)
+
+
+register("s10_report_json", s10_report, with_tx(f"SELECT payment_format, {N} AS tx_count FROM tx GROUP BY 1"))
+
+
+def w14(spark, sf):
+    """A run-log row whose counts are measured on the loaded fact."""
+    rows = staged_warehouse(spark, sf).fact.count()
+    return w.run_log_row(spark, "RUN_1", "warehouse_load", "PASSED", rows, rows, 2.0).drop("logged_at")
+
+
+register("w14_run_log", w14, with_tx("""SELECT 'RUN_1' AS run_id, 'warehouse_load' AS pipeline_name, 'PASSED' AS status, COUNT(*) AS rows_extracted,
+    COUNT(*) AS rows_inserted, 2.0::DOUBLE AS execution_duration_sec, COUNT(*) / 2.0::DOUBLE AS rows_per_sec FROM tx"""))
