@@ -69,15 +69,17 @@ stage("f7_prior_extremes", lambda tx: f.stage3_behavioural(both(tx)), *F7, colum
 stage("f8_prior_ratios", lambda tx: f.stage3_behavioural(both(tx)), *F8, columns=BOTH)
 stage("f9_time_gaps", lambda tx: f.stage4_velocity(both(tx)), *F9, columns=BOTH)
 stage("f10_rapid_flags", lambda tx: f.stage4_velocity(both(tx)), *F10, columns=BOTH)
-stage("f11_global_zscore", lambda tx: f.stage5_global_zscore(f.time_order_history(tx)), "amount_zscore", columns=TIME)
+stage("f11_global_zscore", lambda tx: f.stage5_global_zscore(f.time_order_history(tx, keys=())), "amount_zscore",
+      columns=["transaction_id", "ts", "amount_paid"])
 stage("f12_account_spread", lambda tx: f.stage5_account_spread(sender(tx)), *F12, columns=SENDER)
-stage("f13_label_rates", lambda tx: f.stage6_label_rates(f.time_order_history(tx)), *F13, columns=TIME)
+stage("f13_label_rates", lambda tx: f.stage6_label_rates(f.time_order_history(tx, table=False)), *F13,
+      columns=[c for c in TIME if c != "amount_paid"])
 stage("f14_degrees", lambda tx: f.stage7_network(both(tx, CFG, True)), "sender_out_degree", "receiver_in_degree", columns=BOTH)
 stage("f15_counterparties", lambda tx: f.stage7_network(both(tx, CFG, True)), "unique_counterparties", columns=BOTH)
 stage("f16_lags", lambda tx: f.stage8_rolling(sender(tx)), *F16, columns=SENDER)
 stage("f17_rolling", lambda tx: f.stage8_rolling(sender(tx)), *F17, columns=SENDER)
 stage("f18_differences", lambda tx: f.stage8_rolling(sender(tx)), *F18, columns=SENDER)
-stage("f19_volume_ratios", lambda tx: f.stage6_volume_ratios(f.time_order_history(sender(tx))),
+stage("f19_volume_ratios", lambda tx: f.stage6_volume_ratios(f.time_order_history(sender(tx), table=False)),
       "bank_volume_ratio", "payment_format_volume_ratio", "currency_volume_ratio", columns=[*TIME, "from_account", "to_account"])
 
 # every account with more than 70 rows laid out in chunks: the results must not change

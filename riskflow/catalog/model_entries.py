@@ -6,7 +6,7 @@ Metrics are checked on a fixed score made of exact arithmetic; trained models ha
 from pyspark.sql import functions as F
 
 from riskflow.catalog.feature_entries import store
-from riskflow.catalog.feature_sql import FEATURES, features_sql
+from riskflow.catalog.feature_sql import features_sql
 from riskflow.catalog.registry import TX_SQL, big, pct, register, rounded, total, with_tx
 from riskflow.operators import graph as g
 from riskflow.operators import metrics as m

@@ -7,7 +7,7 @@ from riskflow.catalog.registry import big, register, total
 from riskflow.session import staging_path
 from riskflow.sources.star_tables import table
 from riskflow.streaming import jobs
-from riskflow.streaming.sources import stream_files, with_event_time
+from riskflow.streaming.sources import stream_files
 
 CUTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
 

@@ -20,17 +20,6 @@ def rate_pct(part: Column, whole: Column) -> Column:
     return round_half_up(F.try_divide(part.cast("double"), whole.cast("double")) * 100.0)
 
 
-def total(value: Column | str) -> Column:
-    """Exact decimal sum given out as a double."""
-    return F.sum(as_column(value)).cast("double")
-
-
-def mean(value: Column | str) -> Column:
-    """Exact decimal sum over the count of non-null values."""
-    value = as_column(value)
-    return F.try_divide(F.sum(value).cast("double"), F.count(value).cast("double"))
-
-
 def count_rows() -> Column:
     return F.count(F.lit(1))
 
@@ -63,9 +52,5 @@ def iso_weekday(ts: Column | str) -> Column:
     return F.weekday(as_column(ts)) + 1
 
 
-def quarter(ts: Column | str) -> Column:
-    return F.quarter(as_column(ts))
-
-
 def flag(condition: Column) -> Column:
     return condition.cast("int")

@@ -19,7 +19,7 @@ from riskflow.operators.ordered import (
     HotKeys, first_of_pair, global_index, lay_out, locate_hot_keys, over_history, scan,
 )
 from riskflow.operators.registry import FEATURE_NAMES, MODEL_ORDER
-from riskflow.session import materialize
+from riskflow.session import materialize, sized
 from riskflow.schema import EPSILON, HIGH_VALUE, NO_PREVIOUS_SECONDS
 
 ORDER = ["ts", "transaction_id"]
@@ -70,7 +70,7 @@ def stage1_transaction(df: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> D
 
 
 def stage1_format_frequency(df: DataFrame) -> DataFrame:
-    counts = df.groupBy("payment_format").agg(count_rows().alias("payment_format_encoded"))
+    counts = sized(df.groupBy("payment_format").agg(count_rows().alias("payment_format_encoded")))
     return df.join(counts, "payment_format", "left").select(*df.columns, "payment_format_encoded")
 
 
@@ -201,14 +201,17 @@ def stage8_rolling(df: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataF
 RISK_KEYS = {"bank": "from_bank", "fmt": "payment_format", "curr": "payment_currency"}
 
 
-def time_order_history(df: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+def time_order_history(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), table: bool = True,
+                       keys: Sequence[str] = tuple(RISK_KEYS)) -> DataFrame:
     """Running sums over all earlier rows of the table and of the bank, format and currency.
 
     These groups are few and huge, so they never run as one window each: ``scan`` works on time chunks.
     """
     one = F.lit(1).cast("long")
-    groups = [([], {"g_count": ("sum", one), "g_total": ("sum", F.col("amount_paid")), "g_squares": ("sum", _square("amount_paid"))})]
-    for short, key in RISK_KEYS.items():
+    groups = []
+    if table:
+        groups.append(([], {"g_count": ("sum", one), "g_total": ("sum", F.col("amount_paid")), "g_squares": ("sum", _square("amount_paid"))}))
+    for short, key in ((k, RISK_KEYS[k]) for k in keys):
         groups.append(([key], {f"{short}_n": ("sum", one), f"{short}_fraud": ("sum", F.col("is_laundering").cast("long"))}))
     return scan(lay_out(df, ORDER, cfg.chunks), ORDER, groups)
 

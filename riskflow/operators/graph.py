@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.numbers import count_rows
-from riskflow.session import materialize
+from riskflow.session import materialize, sized
 
 SUSPICIOUS_AMOUNT = 5000
 MAX_CYCLE = 5
@@ -94,7 +94,7 @@ def neighbourhood_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def ring_risk(tx: DataFrame, cycles: DataFrame, high_amount: float = 10_000) -> DataFrame:
     """CRITICAL when either side is on a cycle, else HIGH above the amount, else MEDIUM."""
-    members = cycles.select(F.explode("cycle").alias("member")).distinct()
+    members = sized(cycles.select(F.explode("cycle").alias("member")).distinct())
     sender = members.select(F.col("member").alias("from_account"), F.lit(True).alias("_s"))
     receiver = members.select(F.col("member").alias("to_account"), F.lit(True).alias("_r"))
     ring = F.coalesce("_s", F.lit(False)) | F.coalesce("_r", F.lit(False))

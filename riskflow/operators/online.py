@@ -11,7 +11,7 @@ from riskflow.operators.features import (
 )
 from riskflow.operators.ordered import first_of_pair, over_history
 from riskflow.operators.velocity import with_previous_time
-from riskflow.session import materialize
+from riskflow.session import materialize, sized
 
 SHORT, LONG = 5, 20
 
@@ -128,8 +128,11 @@ def latest_state(batch: DataFrame, states: DataFrame, key: str, name: str, cfg:
 
 def point_in_time_features(batch: DataFrame, history: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Online features of a batch from history with ``ts`` before the row, plus cold-start flags."""
-    sender = _side_state(history, "from_account", "amount_paid", cfg, True)
-    receiver = _side_state(history, "to_account", "amount_received", cfg, False)
+    def known(key: str) -> DataFrame:
+        # only accounts of the batch are looked up; the semi-join leaves rows partitioned as the windows need them
+        return history.join(batch.select(key).distinct(), key, "left_semi").select(*history.columns)
+    sender = _side_state(known("from_account"), "from_account", "amount_paid", cfg, True)
+    receiver = _side_state(known("to_account"), "to_account", "amount_received", cfg, False)
     out = latest_state(latest_state(batch, sender, "from_account", "_s", cfg), receiver, "to_account", "_r", cfg)
     recent = F.coalesce(F.col("_s.last"), F.array().cast("array<decimal(18,2)>"))
     size = F.size(recent)
@@ -164,6 +167,7 @@ def build_reference_priors(train: DataFrame) -> DataFrame:
 
 def apply_priors(df: DataFrame, priors: DataFrame) -> DataFrame:
     """Per-key rate, else the global rate, else 0.015; format frequency, else 100."""
+    priors = sized(priors)
     overall = priors.where(F.col("prior") == "global").agg(F.max("rate").alias("_global"))
     out = df.crossJoin(F.broadcast(overall))
     fallback = F.coalesce("_global", F.lit(DEFAULT_FRAUD_RATE))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.numbers import count_rows, count_where, iso_weekday, rate_pct, time_key
 from riskflow.operators.ordered import global_index
+from riskflow.session import sized
 
 DIMENSIONS = ("time", "bank", "account", "currency", "payment_format")
 UNKNOWN_KEY = -1
@@ -171,21 +172,20 @@ def row_reconciliation(w: Warehouse) -> DataFrame:
 
 def orphan_counts(w: Warehouse) -> DataFrame:
     """Facts without a matching dimension row, per role and for any of time, sender bank, sender and format."""
-    keys = w.fact.groupBy("time_key", "from_bank_key", "payment_format_key", "from_account_key", "to_account_key").agg(
-        count_rows().alias("n"))
+    rows = w.fact
     for dim, key, role in (
-        (w.time, "time_key", "time_key"), (w.bank, "bank_key", "from_bank_key"),
-        (w.payment_format, "payment_format_key", "payment_format_key"),
-        (w.account, "account_key", "from_account_key"), (w.account, "account_key", "to_account_key"),
+        (w.time, "time_key", "time_key"), (w.bank, "bank_key", "from_bank_key"), (w.account, "account_key", "from_account_key"),
+        (w.payment_format, "payment_format_key", "payment_format_key"), (w.account, "account_key", "to_account_key"),
     ):
-        present = dim.select(F.col(key).alias(role), F.lit(1).alias(f"has_{role}"))
-        keys = keys.join(present, role, "left")
+        # the keys without a dimension row, normally none at all: then no fact row is shuffled for this role
+        lost = w.fact.select(role).distinct().join(dim.select(F.col(key).alias(role)), role, "left_anti")
+        rows = rows.join(sized(lost.withColumn(f"no_{role}", F.lit(True))), role, "left")
     def missing(*roles: str):
         condition = F.lit(False)
         for role in roles:
-            condition = condition | F.col(f"has_{role}").isNull()
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-    return keys.agg(
+            condition = condition | F.col(f"no_{role}").isNotNull()
+        return count_where(condition)
+    return rows.agg(
         missing("time_key", "from_bank_key", "from_account_key", "payment_format_key").alias("orphan_fact_records"),
         missing("from_account_key").alias("orphan_from_account_keys"),
         missing("to_account_key").alias("orphan_to_account_keys"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.numbers import count_rows, rate_pct, round_half_up
 from riskflow.operators.ordered import (
-    HotKeys, global_index, lay_out, locate_hot_keys, over_history, ranks_within, running_with_peers, value_positions,
+    HotKeys, global_index, locate_hot_keys, over_history, ranks_within, running_with_peers, value_positions,
 )
 from riskflow.operators.warehouse import Warehouse
 

@@ -45,8 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one written table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for one written table. All of an application's tables sit in one folder below the shared one,
+    which can be dropped as a whole once the application has ended."""
+    return f"{shared_dir(spark).rstrip('/')}/riskflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -56,3 +57,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = staging_path(df.sparkSession, "table")
     df.write.option("compression", "lz4").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A derived look-up table whose true size the planner knows, because it is written first. Spark then broadcasts it
+    if it is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise; no size is assumed."""
+    return materialize(df)
