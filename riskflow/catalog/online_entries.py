@@ -135,7 +135,8 @@ PIT_SQL = f"""WITH tx AS ({TX_SQL}), h AS (SELECT * FROM tx WHERE is_laundering
 
 def t4(spark, sf, cfg=FeatureConfig()):
     """The fraud rows as the batch, all other rows as the history."""
-    tx = transactions(spark, sf)
+    columns = ["transaction_id", "ts", "from_account", "to_account", "amount_paid", "amount_received", "is_laundering"]
+    tx = transactions(spark, sf, columns)
     batch, history = tx.where(F.col("is_laundering") == 1), tx.where(F.col("is_laundering") == 0)
     return o.point_in_time_features(batch, history, cfg).select("transaction_id", *PIT)
 

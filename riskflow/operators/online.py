@@ -9,7 +9,7 @@ from riskflow.functions.numbers import count_rows, flag
 from riskflow.operators.features import (
     ORDER, FeatureConfig, dbl, hot_accounts, or_zero, receiver_history, safe_ratio, sender_history, stage1_transaction, stage2_temporal,
 )
-from riskflow.operators.ordered import first_of_pair, over_history
+from riskflow.operators.ordered import HotKeys, first_of_pair, over_history
 from riskflow.operators.velocity import with_previous_time
 from riskflow.session import materialize, sized
 
@@ -88,9 +88,8 @@ def online_features(tx: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Data
 
 # ---- a batch against a separate history -----------------------------------------------------------------------
 
-def _side_state(history: DataFrame, key: str, amount: str, cfg: FeatureConfig, sender: bool) -> DataFrame:
+def _side_state(history: DataFrame, key: str, amount: str, cfg: FeatureConfig, sender: bool, hot: HotKeys | None) -> DataFrame:
     """After each history row: what is known about its account, the row included."""
-    hot = hot_accounts(history, key, cfg)
     value, square = F.col(amount), F.col(amount).cast("decimal(18,2)") * F.col(amount).cast("decimal(18,2)")
     parts = {"n": ("sum", F.lit(1).cast("long")), "total": ("sum", value)}
     columns = [key, *ORDER, amount]
@@ -111,7 +110,8 @@ def _side_state(history: DataFrame, key: str, amount: str, cfg: FeatureConfig, s
                                                *[F.col(f) for f in frames]).alias("_state"))
 
 
-def latest_state(batch: DataFrame, states: DataFrame, key: str, name: str, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+def latest_state(batch: DataFrame, states: DataFrame, key: str, name: str, cfg: FeatureConfig = FeatureConfig(),
+                 hot: HotKeys | None = None) -> DataFrame:
     """As-of join: the newest state strictly before each batch row, by time, with other rows of the batch unseen.
 
     Both sides are put into one order per key and the newest state is carried along, so no row meets all of its
@@ -121,7 +121,6 @@ def latest_state(batch: DataFrame, states: DataFrame, key: str, name: str, cfg:
     # at equal times batch rows sort first and therefore do not see the history row
     both = marked.unionByName(states.withColumn("_is_batch", F.lit(0)), allowMissingColumns=True).withColumn(
         "_rank", F.lit(1) - F.col("_is_batch"))
-    hot = hot_accounts(both, key, cfg)
     joined = over_history(both, key, ["ts", "_rank", "transaction_id"], {name: ("max", F.col("_state"))}, hot=hot, chunks=cfg.chunks)
     return joined.where(F.col("_is_batch") == 1).select(*batch.columns, name)
 
@@ -131,9 +130,11 @@ def point_in_time_features(batch: DataFrame, history: DataFrame, cfg: FeatureCon
     def known(key: str) -> DataFrame:
         # only accounts of the batch are looked up; the semi-join leaves rows partitioned as the windows need them
         return history.join(batch.select(key).distinct(), key, "left_semi").select(*history.columns)
-    sender = _side_state(known("from_account"), "from_account", "amount_paid", cfg, True)
-    receiver = _side_state(known("to_account"), "to_account", "amount_received", cfg, False)
-    out = latest_state(latest_state(batch, sender, "from_account", "_s", cfg), receiver, "to_account", "_r", cfg)
+    hot = {key: hot_accounts(history.select(key).unionByName(batch.select(key)), key, cfg) for key in ("from_account", "to_account")}
+    sender = _side_state(known("from_account"), "from_account", "amount_paid", cfg, True, hot["from_account"])
+    receiver = _side_state(known("to_account"), "to_account", "amount_received", cfg, False, hot["to_account"])
+    out = latest_state(batch, sender, "from_account", "_s", cfg, hot["from_account"])
+    out = latest_state(out, receiver, "to_account", "_r", cfg, hot["to_account"])
     recent = F.coalesce(F.col("_s.last"), F.array().cast("array<decimal(18,2)>"))
     size = F.size(recent)
     def last(n: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskflow.functions.numbers import count_rows, count_where, rate_pct
 from riskflow.operators.ordered import exact_quantiles
 from riskflow.operators.quality import quantile_columns, rows_of
+from riskflow.session import sized
 
 # Rare flags that stay in the model although their variance is tiny.
 DOMAIN_CRITICAL = [
@@ -64,14 +65,14 @@ def decile_edges(baseline: DataFrame, columns: Sequence[str], buckets: int = 10)
 
 def bucket_of(value: Column, edges: Column, buckets: int) -> Column:
     """Half-open bins, the last one closed; NULL outside the edges."""
-    at = F.aggregate(edges, F.lit(0), lambda acc, edge: acc + F.when(edge <= value, 1).otherwise(0))
+    at = sum((F.when(edges[i] <= value, 1).otherwise(0) for i in range(buckets + 1)), F.lit(0))
     return F.when((value < F.element_at(edges, 1)) | (value > F.element_at(edges, -1)), F.lit(None)).otherwise(
         F.least(at, F.lit(buckets)))
 
 
 def psi(baseline: DataFrame, current: DataFrame, columns: Sequence[str], buckets: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index per feature. Current values outside the edges stay in the denominator only."""
-    edges = decile_edges(baseline, columns, buckets)  # one row per feature
+    edges = sized(decile_edges(baseline, columns, buckets))  # one row per feature, used three times
     def shares(df: DataFrame, name: str) -> DataFrame:
         # values are binned on the map side; only feature x bucket counts are shuffled
         binned = unpivot(df, columns).where(F.col("value").isNotNull()).join(F.broadcast(edges), "feature_name").groupBy(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from riskflow.session import sized
 
 DIMENSIONS = ("time", "bank", "account", "currency", "payment_format")
 UNKNOWN_KEY = -1
+MONTHS = "January February March April May June July August September October November December".split()
+DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
 
 
 @dataclass(frozen=True)
@@ -45,14 +47,18 @@ def write_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> None:
         .write.mode(mode).partitionBy("tx_month").option("compression", "zstd").parquet(path))
 
 
+def _name(names: list[str], position: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), position)
+
+
 def build_dim_time(tx: DataFrame) -> DataFrame:
     minutes = tx.where(F.col("ts").isNotNull()).select(F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("full_timestamp"))
     ts = F.col("full_timestamp")
     return minutes.distinct().select(
         time_key(ts).alias("time_key"), ts, F.year(ts).cast("long").alias("year"), F.quarter(ts).cast("long").alias("quarter"),
-        F.month(ts).cast("long").alias("month"), F.date_format(ts, "MMMM").alias("month_name"),
+        F.month(ts).cast("long").alias("month"), _name(MONTHS, F.month(ts)).alias("month_name"),
         F.day(ts).cast("long").alias("day"), iso_weekday(ts).cast("long").alias("day_of_week"),
-        F.date_format(ts, "EEEE").alias("day_name"), F.hour(ts).cast("long").alias("hour"),
+        _name(DAYS, iso_weekday(ts)).alias("day_name"), F.hour(ts).cast("long").alias("hour"),
         F.minute(ts).cast("long").alias("minute"), (iso_weekday(ts) >= 6).alias("is_weekend"))
 
 

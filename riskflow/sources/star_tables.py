@@ -60,20 +60,22 @@ def transactions(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None
                      F.col("s_nationkey") == F.col("rcv_nation"), "left")
 
     price = F.col("l_extendedprice").cast("decimal(18,2)")
-    keep = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
+    # price * (1 - discount) rounded half up, in whole cents and percents: exact, and cheaper than decimal products
+    kept_pct = F.lit(100) - F.rint(F.col("l_discount") * 100).cast("long")
+    received = F.floor((cents * kept_pct + 50) / 100)
     minute = (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101 + F.col("l_partkey") * 13) % 1440
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     expressions = {
         "transaction_id": F.concat(
-            F.lit("T"),
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents.cast("string"))),
+            F.lit("T"), *[part for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+                          for part in (F.col(c).cast("string"), F.lit("-"))], cents.cast("string")),
         "ts": F.col("l_shipdate") + F.make_dt_interval(mins=minute.cast("int")),
         "from_bank": F.col("c_nationkey") if "from_bank" in need else None,
         "from_account": F.concat(F.lit("A"), F.col("o_custkey").cast("string")) if "from_account" in need else None,
         "to_bank": F.col("s_nationkey") if "to_bank" in need else None,
         "to_account": F.concat(F.lit("A"), F.col("l_suppkey").cast("string")),
         "amount_paid": price,
-        "amount_received": F.round(price * keep, 2).cast("decimal(18,2)"),
+        "amount_received": (received / 100.0).cast("decimal(18,2)"),
         "payment_currency": F.col("payment_currency") if "payment_currency" in need else None,
         "receiving_currency": F.col("receiving_currency") if "receiving_currency" in need else None,
         "payment_format": F.col("o_orderpriority") if "payment_format" in need else None,
