@@ -324,7 +324,7 @@ def q13(spark, sf):
     return out["before_after"].select("metric", "before", "after")
 
 
-register("q13_quality_pipeline", q13, with_tx(
+register("q13_quality_run", q13, with_tx(
     """SELECT unnest(['Rows','Columns','Missing Values','Exact Duplicate Rows']) AS metric, unnest([a.n + b.n, 11, 0, a.n + b.n - d.n]) AS before,
          unnest([d.n, 13, 0, 0]) AS after
        FROM (SELECT COUNT(*) AS n FROM tx) a, (SELECT COUNT(*) AS n FROM tx WHERE from_bank = 3) b,

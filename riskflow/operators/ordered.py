@@ -245,9 +245,12 @@ def ranks_within(df: DataFrame, key: str, value: str, tie: str, hot: HotKeys | N
 
 def first_of_pair(df: DataFrame, key: str, other: str, order: Sequence[str], row_id: str, name: str,
                   hot: HotKeys | None = None) -> DataFrame:
-    """1 on the first row of every (key, other) pair, else 0."""
+    """1 on the first row of every (key, other) pair, else 0.
+
+    Ordinary rows are partitioned by ``key`` alone, which serves this window and the per-key windows that follow.
+    """
     w = W.partitionBy(key, other).orderBy(*order)
-    ordinary = df if hot is None else hot.cold_part(df)
+    ordinary = (df if hot is None else hot.cold_part(df)).repartition(key)
     result = ordinary.withColumn(name, F.when(F.row_number().over(w) == 1, 1).otherwise(0))
     if hot is None:
         return result
