@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, mixing, sharding, simhash
+from riskflow.llm import bpe, mixing, secrets, sharding, simhash, winnowing
 from riskflow.llm.tables import table
+from riskflow.session import staging_path
 
 #: The vocabulary is part of the installation on every machine; another path may be given to the operator.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +30,22 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan: the ledger starts empty in the shared folder."""
+    found = secrets.scan_versions(table(spark, sf_dir, "documents"), staging_path(spark, "secret-ledger"))
+    base = ["assign", "access", "hex"]
+    return found.select(
+        "doc_id", *[secrets.count_kind(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"), secrets.joined_spans().alias("spans"))
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), winnowing.printed(F.col("prints")).alias("fingerprint"),
+        winnowing.printed(F.col("edited_prints")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_shard_documents": op2_shard_documents,
     "op3_mix_sources": op3_mix_sources,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_winnowing": op9_winnowing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.TAKEN_SQL}
