@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, mixing, secrets, sharding, simhash, winnowing
+from riskflow.llm import bpe, html_text, lines, mixing, neighbours, quality, secrets, sharding, simhash, winnowing
 from riskflow.llm.tables import table
 from riskflow.session import staging_path
 
@@ -30,6 +30,28 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text, the lines that went (first:count) and the ids that keep them."""
+    found = lines.remove_repeated(table(spark, sf_dir, "documents"), details=True)
+    lost = F.aggregate("cuts", F.lit(0), lambda s, c: s + c["n_lines"]).cast("long")
+    cuts = F.array_join(F.transform("cuts", lambda c: F.concat_ws(":", c["first_line"].cast("string"), c["n_lines"].cast("string"))), ",")
+    return found.select("doc_id", "text", lost.alias("n_lines_removed"), cuts.alias("cuts"), "copied_from")
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), keep=("url",))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first scan: the ledger starts empty in the shared folder."""
     found = secrets.scan_versions(table(spark, sf_dir, "documents"), staging_path(spark, "secret-ledger"))
@@ -55,6 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_shard_documents": op2_shard_documents,
     "op3_mix_sources": op3_mix_sources,
+    "op4_quality": op4_quality,
+    "op5_nearest": op5_nearest,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_main_text": op7_main_text,
     "op8_secret_scan": op8_secret_scan,
     "op9_winnowing": op9_winnowing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
