@@ -44,7 +44,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_repeated(table(spark, sf_dir, "documents"), details=True)
     lost = F.aggregate("cuts", F.lit(0), lambda s, c: s + c["n_lines"]).cast("long")
     cuts = F.array_join(F.transform("cuts", lambda c: F.concat_ws(":", c["first_line"].cast("string"), c["n_lines"].cast("string"))), ",")
-    return found.select("doc_id", "text", lost.alias("n_lines_removed"), cuts.alias("cuts"), "copied_from")
+    return found.select("doc_id", "text", lost.alias("n_lines_removed"), cuts.alias("cuts"), F.array_join(F.col("copied_from").cast("array<string>"), ",").alias("copied_from"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_winnowing": op9_winnowing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.TAKEN_SQL}
+#: The other operators rest on hashes, patterns, parsers or fits that SQL does not have.
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.TAKEN_SQL, "op6_line_dedup": lines.REMOVED_SQL}

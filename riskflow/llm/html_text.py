@@ -5,7 +5,7 @@ element or source line break between tags) with their text and number of tags. T
 Gaussian, and a threshold from the spread of the ratios separates content from the rest. Lines of menus, headers, footers,
 sidebars, notices, adverts, forms, scripts and reader comments have no text of their own and split the page into regions;
 a region is content if its smoothed ratio reaches the threshold anywhere, so short paragraphs between long ones stay. Where
-a page marks its article, regions outside of it are not content.
+a page marks its article, this is one region, whatever stands in it, and regions outside of it are not content.
 
 Rules: a null page counts as empty; a page without text gives an empty text; unclosed and stray tags are tolerated;
 repeated rows give repeated results; other columns are not read.
@@ -144,6 +144,8 @@ def main_text(html: str) -> str:
     mean = sum(smooth) / len(smooth)
     spread = math.sqrt(sum((v - mean) ** 2 for v in smooth) / len(smooth))
     threshold = min(SPREADS * spread, max(v for v, line in zip(smooth, lines) if line[2]))
+    if marked:  # its region holds the line of the largest ratio, so it reaches the threshold
+        return " ".join(text for text, _, possible in lines if possible)
     out: list[str] = []
     at = 0
     while at < len(lines):

@@ -12,6 +12,7 @@ empty; other columns are kept as they are and cannot clash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,24 +23,24 @@ from pyspark.sql import functions as F
 from riskflow.llm.tables import slices
 from riskflow.session import materialize
 
-#: Lines of the rolling window; a boundary where the lowest bits of its hash are 0; lines of a chunk at least.
-WINDOW, BOUNDARY_BITS, LEAST_LINES = 2, 1, 2
+#: Lines of the rolling window, base and modulus of its polynomial, and lines of a chunk at least.
+WINDOW, BASE, MODULUS, LEAST_LINES = 2, 1_000_003, 4_294_967_291, 2
 _FULL = (1 << 64) - 1
 KEY = ["no_id", "id", "row_hash"]
 
 
-def chunks(lines: list[str], window: int = WINDOW, bits: int = BOUNDARY_BITS, least: int = LEAST_LINES) -> list[tuple[int, int]]:
-    """(first line, lines) of every chunk; the last one may be shorter than ``least``."""
-    hashes = [xxhash.xxh64_intdigest(line.encode()) for line in lines]
-    out, start, rolled, mask, turn = [], 0, 0, (1 << bits) - 1, window % 64
+def chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, lines) of every chunk. A boundary comes after a line whose rolling hash is even if that of the line
+    before is odd; so it depends on three lines only, and chunks have two lines or more, but for the last one."""
+    hashes = [int(hashlib.md5(line.encode()).hexdigest()[:8], 16) for line in lines]
+    out, start, rolled, even_before, oldest = [], 0, 0, True, pow(BASE, WINDOW, MODULUS)
     for i, new in enumerate(hashes):
-        rolled = ((rolled << 1) & _FULL | rolled >> 63) ^ new
-        if i >= window:
-            old = hashes[i - window]
-            rolled ^= (old << turn) & _FULL | old >> (64 - turn)
-        if i + 1 - start >= least and not rolled & mask:
+        rolled = (rolled * BASE + new - (hashes[i - WINDOW] * oldest if i >= WINDOW else 0)) % MODULUS
+        even = rolled % 2 == 0
+        if i and even and not even_before:
             out.append((start, i + 1 - start))
             start = i + 1
+        even_before = even
     if start < len(lines):
         out.append((start, len(lines) - start))
     return out
@@ -122,3 +123,38 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
         none = F.array().cast("array<struct<first_line:int,n_lines:int>>")
         columns += [F.coalesce("cuts", none).alias("cuts"), F.coalesce("copied_from", F.array().cast("array<bigint>")).alias("copied_from")]
     return joined.select(*columns)
+
+
+#: The same in DuckDB's SQL; equal texts are compared as texts.
+REMOVED_SQL = """
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i
+  FROM documents),
+hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM split),
+rolled AS (
+  SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 1000003 + h) % 4294967291 % 2 = 0 AS even FROM hashed),
+bounded AS (
+  SELECT *, i > 0 AND even AND NOT lag(even, 1, true) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM rolled),
+numbered AS (
+  SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM bounded),
+chunks AS (
+  SELECT doc_id, chunk, min(i) AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM numbered GROUP BY doc_id, chunk HAVING count(*) >= 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first_line) AS place,
+         first_value(doc_id) OVER (PARTITION BY body ORDER BY doc_id, first_line) AS keeper
+  FROM chunks),
+lost AS (SELECT * FROM ranked WHERE place > 1),
+per_doc AS (
+  SELECT doc_id, CAST(sum(n_lines) AS BIGINT) AS n_lines_removed, string_agg(first_line || ':' || n_lines, ',' ORDER BY first_line) AS cuts,
+         array_to_string(list_sort(list(DISTINCT keeper)), ',') AS copied_from
+  FROM lost GROUP BY doc_id),
+kept AS (
+  SELECT n.doc_id, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM numbered n ANTI JOIN lost l ON n.doc_id = l.doc_id AND n.chunk = l.chunk GROUP BY n.doc_id)
+SELECT d.doc_id, CASE WHEN p.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
+       coalesce(p.n_lines_removed, 0) AS n_lines_removed, coalesce(p.cuts, '') AS cuts, coalesce(p.copied_from, '') AS copied_from
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN per_doc p USING (doc_id)
+"""

@@ -58,17 +58,17 @@ def measures(text: str) -> list[float]:
 
 
 def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id, x``: the measures of every whole text, and with it whatever ``docs`` has in a column ``row``."""
-    carried = ["row"] if "row" in docs.columns else []
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), *carried)
+    """``id, x, row``: the measures of every whole text and the text's hash."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 values = pa.array([measures(text) for text in part.column(1).to_pylist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), values, *part.columns[2:]], names=["id", "x", *carried])
+                yield pa.RecordBatch.from_arrays([part.column(0), values, part.column(2)], names=["id", "x", "row"])
 
-    return source.mapInArrow(run, "id long, x array<double>" + "".join(f", {c} long" for c in carried))
+    return source.mapInArrow(run, "id long, x array<double>, row long")
 
 
 def held_out(identity: Column) -> Column:
@@ -212,15 +212,14 @@ def learn(rows: DataFrame, labels: DataFrame, prior: float | None = None, id_col
 
 
 def score(rows: DataFrame, model: QualityModel) -> DataFrame:
-    """``id, score`` (six digits) and the column ``row`` if there is one."""
-    carried = ["row"] if "row" in rows.columns else []
+    """``id, score`` (six digits), ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.round(model.score(_matrix(batch.column(1))), 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=["id", "score", *carried])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], names=["id", "score", "row"])
 
-    return rows.select("id", "x", *carried).mapInArrow(run, "id long, score double" + "".join(f", {c} long" for c in carried))
+    return rows.select("id", "x", "row").mapInArrow(run, "id long, score double, row long")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", prior: float | None = None) -> DataFrame:
@@ -233,7 +232,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", prior: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are predicted 1, with all their columns. A row is known by its id and text hash."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = materialize(measured(docs.select(id_column, text_column, F.xxhash64(text).alias("row")), id_column, text_column))
+    rows = materialize(measured(docs, id_column, text_column))
     scored = score(rows, learn(rows, labels, prior))
     bad = scored.where(F.col("score") < THRESHOLD).select(F.col("id").isNull().alias("_no_id"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("row").alias("_hash")).distinct()
     packed = docs.select(
