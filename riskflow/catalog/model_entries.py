@@ -503,11 +503,11 @@ register("x18_summary_drift", lambda spark, sf: round_all(p.summary_drift(
 GRAPH = ["transaction_id", "ts", "from_account", "to_account", "amount_paid", "is_laundering"]
 
 
-def flagged_edges(spark, sf):
-    return g.build_edges(transactions(spark, sf, GRAPH).where(F.col("is_laundering") == 1))
+def all_edges(spark, sf):
+    return g.build_edges(transactions(spark, sf, GRAPH))
 
 
-EDGES = "ed AS (SELECT DISTINCT from_account AS src, to_account AS dst FROM tx WHERE is_laundering = 1 AND from_account <> to_account)"
+EDGES = "ed AS (SELECT DISTINCT from_account AS src, to_account AS dst FROM tx WHERE from_account <> to_account)"
 CYCLES = """RECURSIVE tx AS (""" + TX_SQL + f"""), {EDGES},
     pa AS (SELECT src AS s, dst AS last, [src, dst] AS path FROM ed WHERE dst > src
       UNION ALL SELECT s, dst, list_append(path, dst) FROM pa JOIN ed ON src = last WHERE dst > s AND NOT list_contains(path, dst) AND len(path) < 5),
@@ -515,7 +515,7 @@ CYCLES = """RECURSIVE tx AS (""" + TX_SQL + f"""), {EDGES},
 
 
 def cycles(spark, sf):
-    return g.find_cycles(flagged_edges(spark, sf))
+    return g.find_cycles(all_edges(spark, sf))
 
 
 register("g1_edges", lambda spark, sf: g.build_edges(transactions(spark, sf, GRAPH)).withColumn("amount", F.col("amount").cast("double")), with_tx(
@@ -538,9 +538,12 @@ def seeds(spark, sf):
 SEEDS = "sd AS (SELECT DISTINCT from_account AS id FROM tx WHERE from_account = to_account)"
 HOPS = """h AS (SELECT id, 0 AS hop FROM sd UNION ALL SELECT dst, 1 FROM ed JOIN sd ON src = id
     UNION ALL SELECT b.dst, 2 FROM ed a JOIN sd ON a.src = id JOIN ed b ON b.src = a.dst), kh AS (SELECT id, MIN(hop) AS hop FROM h GROUP BY 1)"""
-register("g3_k_hop", lambda spark, sf: g.k_hop(flagged_edges(spark, sf), seeds(spark, sf), 2), with_tx("SELECT id, hop FROM kh", EDGES, SEEDS, HOPS))
-register("g3_neighbourhood", lambda spark, sf: g.neighbourhood_edges(g.distinct_edges(flagged_edges(spark, sf)), g.k_hop(flagged_edges(spark, sf), seeds(spark, sf), 2)),
+register("g3_k_hop", lambda spark, sf: g.k_hop(all_edges(spark, sf), seeds(spark, sf), 2), with_tx("SELECT id, hop FROM kh", EDGES, SEEDS, HOPS))
+register("g3_neighbourhood", lambda spark, sf: g.neighbourhood_edges(g.distinct_edges(all_edges(spark, sf)), g.k_hop(all_edges(spark, sf), seeds(spark, sf), 2)),
          with_tx("SELECT src, dst FROM ed WHERE src IN (SELECT id FROM kh) AND dst IN (SELECT id FROM kh)", EDGES, SEEDS, HOPS))
+register("g3_root_hops", lambda spark, sf: g.k_hop_of_each(all_edges(spark, sf), seeds(spark, sf), 2), with_tx(
+    """SELECT root, id, MIN(hop) AS hop FROM (SELECT id AS root, id, 0 AS hop FROM sd UNION ALL SELECT id, dst, 1 FROM ed JOIN sd ON src = id
+       UNION ALL SELECT sd.id, b.dst, 2 FROM ed a JOIN sd ON a.src = id JOIN ed b ON b.src = a.dst) GROUP BY 1, 2""", EDGES, SEEDS))
 register("g4_ring_risk", lambda spark, sf: g.ring_risk(transactions(spark, sf, GRAPH), cycles(spark, sf)).select(
     "transaction_id", "has_circular_risk", "cluster_risk_level"), f"""WITH {CYCLES}, mb AS (SELECT DISTINCT unnest(path) AS a FROM cy)
     SELECT transaction_id, r AS has_circular_risk, CASE WHEN r THEN 'CRITICAL' WHEN amount_paid > 10000 THEN 'HIGH' ELSE 'MEDIUM' END AS cluster_risk_level

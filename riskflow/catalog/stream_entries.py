@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from riskflow.catalog.online_entries import _frames
+from riskflow.catalog.online_entries import T1, events
 from riskflow.catalog.registry import big, register, total
 from riskflow.session import staging_path
 from riskflow.sources.star_tables import table
@@ -22,24 +22,25 @@ def as_transfers(events):
         F.lit("USD").alias("receiving_currency"), F.col("event_type").alias("payment_format"))
 
 
-def arriving(spark, df):
-    """The table as files that arrive in time order, three micro-batches in all."""
-    path = staging_path(spark, "arriving")
+def feed(spark, df, job, order=(0, 1, 2), repeat=()):
+    """The table arrives in parts by time, in the given order, some parts again at the end. After each arrival the job is
+    started anew with the same checkpoint, as after a stop."""
+    path, checkpoint = staging_path(spark, "arriving"), staging_path(spark, "checkpoint")
     edges = [None, *CUTS, None]
-    for low, high in zip(edges, edges[1:]):
+    for k in (*order, *repeat):
         part = df
-        if low:
-            part = part.where(F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
-        if high:
-            part = part.where(F.col("ts") < F.lit(high).cast("timestamp_ntz"))
-        # coalesce(1): one file is one micro-batch here; a real feed brings its own files
-        part.coalesce(1).write.mode("append").parquet(path)
-    return stream_files(spark, path, df.schema, files_per_batch=1)
+        if edges[k]:
+            part = part.where(F.col("ts") >= F.lit(edges[k]).cast("timestamp_ntz"))
+        if edges[k + 1]:
+            part = part.where(F.col("ts") < F.lit(edges[k + 1]).cast("timestamp_ntz"))
+        part.write.mode("append").parquet(path)
+        job(stream_files(spark, path, df.schema), checkpoint)
 
 
 def t12(spark, sf):
+    """The middle part comes ten days late."""
     path = staging_path(spark, "states")
-    jobs.account_states_stream(arriving(spark, as_transfers(table(spark, sf, "events"))), path)
+    feed(spark, as_transfers(table(spark, sf, "events")), lambda stream, at: jobs.account_states_stream(stream, path, at), (0, 2, 1))
     return jobs.current_states(spark, path)
 
 
@@ -52,10 +53,10 @@ register("t12_account_states_stream", t12, f"""
 
 
 def t13_stream(spark, sf):
-    """Every event arrives twice; the states count it once."""
+    """Every event arrives twice in its batch, and the first part once more three batches later; the states count it once."""
     path = staging_path(spark, "states")
     transfers = as_transfers(table(spark, sf, "events"))
-    jobs.account_states_stream(arriving(spark, transfers.unionByName(transfers)), path)
+    feed(spark, transfers.unionByName(transfers), lambda stream, at: jobs.account_states_stream(stream, path, at), repeat=(0,))
     return jobs.current_states(spark, path).select("account_id", "transaction_count", "total_amount_paid")
 
 
@@ -66,12 +67,13 @@ register("t13_idempotent_stream", t13_stream, f"""
 
 def t14(spark, sf):
     path = staging_path(spark, "velocity")
-    jobs.velocity_stream(arriving(spark, table(spark, sf, "events").select("event_id", "ts", "user_id")), path)
-    return spark.read.parquet(path).drop("batch_id")
+    feed(spark, events(spark, sf), lambda stream, at: jobs.velocity_stream(stream, path, at), repeat=(1,))
+    return jobs.stored_velocity(spark, path)
 
 
-register("t14_velocity_stream", t14, f"""SELECT event_id, COUNT(*) OVER w10s AS count_10s, COUNT(*) OVER w1m AS count_1m,
-    COUNT(*) OVER w1h AS count_1h, COUNT(*) OVER w24h AS count_24h FROM events WINDOW {_frames('user_id')}""")
+register("t14_velocity_stream", t14, T1.replace(" FROM e WINDOW ", """, COUNT(DISTINCT user_id) OVER r24h AS receiver_in_degree_24h,
+    COALESCE(CAST(epoch_us(ts) - epoch_us(MAX(ts) OVER r24h) AS DOUBLE) / 1000000.0, 86400.0) AS receiver_seconds_since_last
+    FROM e WINDOW r24h AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), """))
 
 
 def measured(spark, sf):
@@ -81,8 +83,8 @@ def measured(spark, sf):
 def t16(slide):
     def run(spark, sf):
         path = staging_path(spark, "windows")
-        jobs.activity_stream(arriving(spark, measured(spark, sf)), path, "user_id", "1 day", slide)
-        return jobs.newest_windows(spark, path, "user_id")
+        feed(spark, measured(spark, sf), lambda stream, at: jobs.activity_stream(stream, path, at, "user_id", "1 day", slide), (2, 0, 1))
+        return jobs.current_windows(spark, path, "user_id")
     return run
 
 
@@ -97,18 +99,16 @@ SESSIONS = f"""WITH g AS (SELECT *, CASE WHEN ts < LAG(ts) OVER (PARTITION BY us
     n AS (SELECT *, SUM(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
     s AS (SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 300 SECOND AS session_end, COUNT(*) AS event_count, {total(AMOUNT)} AS volume
           FROM n GROUP BY user_id, k)"""
-register("t16_session_bursts", lambda spark, sf: jobs.session_bursts(
-    measured(spark, sf).withColumn("event_time", F.col("ts").cast("timestamp")), "user_id"), SESSIONS + " SELECT * FROM s")
+register("t16_session_bursts", lambda spark, sf: jobs.session_bursts(measured(spark, sf), "user_id"), SESSIONS + " SELECT * FROM s")
 
 
 def t16_sessions(spark, sf):
     path = staging_path(spark, "sessions")
-    jobs.session_stream(arriving(spark, measured(spark, sf)), path, "user_id")
-    return spark.read.parquet(path).drop("batch_id")
+    feed(spark, measured(spark, sf), lambda stream, at: jobs.session_stream(stream, path, at), (1, 0, 2))
+    return jobs.current_sessions(spark, path, "user_id")
 
 
-register("t16_session_stream", t16_sessions, SESSIONS + """ SELECT * FROM s WHERE session_end <=
-    (SELECT date_trunc('millisecond', MAX(ts)) FROM events) - INTERVAL 1 HOUR""")
+register("t16_session_stream", t16_sessions, SESSIONS + " SELECT * FROM s")
 
 
 def stream_score(df):
@@ -119,16 +119,12 @@ def stream_score(df):
 
 def t17(spark, sf):
     history, scores = staging_path(spark, "history"), staging_path(spark, "scores")
-    jobs.scoring_stream(arriving(spark, as_transfers(table(spark, sf, "events"))), history, scores, stream_score)
-    return spark.read.parquet(scores).drop("batch_id")
+    feed(spark, as_transfers(table(spark, sf, "events")), lambda stream, at: jobs.scoring_stream(stream, history, scores, at, stream_score), repeat=(0,))
+    return spark.read.parquet(scores).drop("run", "batch_id")
 
 
-BATCH = f"(CASE WHEN ts < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN ts < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END)"
 register("t17_scoring_stream", t17, f"""
-    WITH e AS (SELECT event_id, user_id, {AMOUNT} AS amount, {BATCH} AS b FROM events),
-    h AS (SELECT user_id, b, SUM(COUNT(*)) OVER w AS n, SUM(SUM(amount)) OVER w AS paid FROM (
-            SELECT user_id, b, amount FROM e UNION ALL SELECT u, k, NULL FROM (SELECT DISTINCT user_id AS u FROM e), range(0) r(k)) GROUP BY user_id, b
-          WINDOW w AS (PARTITION BY user_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(COALESCE(n, 0) AS DOUBLE) AS account_transaction_count,
-      CAST(COALESCE(paid, 0) AS DOUBLE) AS account_total_paid, least(CAST(COALESCE(n, 0) AS DOUBLE), 100.0) + CASE WHEN amount > 100 THEN 50.0 ELSE 0.0 END AS score
-    FROM e JOIN h USING (user_id, b)""")
+    WITH e AS (SELECT event_id, {AMOUNT} AS amount, COUNT(*) OVER w AS n, SUM({AMOUNT}) OVER w AS paid FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))
+    SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(n AS DOUBLE) AS account_transaction_count, CAST(COALESCE(paid, 0) AS DOUBLE) AS account_total_paid,
+      least(CAST(n AS DOUBLE), 100.0) + CASE WHEN amount > 100 THEN 50.0 ELSE 0.0 END AS score FROM e""")

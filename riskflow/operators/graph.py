@@ -71,14 +71,27 @@ def node_set_cycles(cycles: DataFrame) -> DataFrame:
     return cycles.groupBy("node_set", "length").agg(count_rows().alias("directed_cycles"))
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 2, direction: str = "out") -> DataFrame:
-    """(id, hop): nodes first reached after ``hop`` steps. ``seeds`` has one column ``id``; direction is out, in or both."""
+def _steps(edges: DataFrame, direction: str) -> DataFrame:
     pairs = edges.select("src", "dst")
     back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    steps = {"out": pairs, "in": back, "both": pairs.unionByName(back)}[direction].distinct()
-    steps = materialize(steps)
-    reached = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    frontier = reached
+    return materialize({"out": pairs, "in": back, "both": pairs.unionByName(back)}[direction].distinct())
+
+
+def k_hop_of_each(edges: DataFrame, seeds: DataFrame, hops: int = 2, direction: str = "out") -> DataFrame:
+    """(root, id, hop): the neighbourhood of every seed by itself. ``seeds`` has one column ``id``; direction is out, in or both."""
+    steps = _steps(edges, direction)
+    reached = frontier = seeds.select(F.col("id").alias("root"), "id").distinct().withColumn("hop", F.lit(0))
+    for hop in range(1, hops + 1):
+        found = frontier.join(steps, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
+        frontier = materialize(found.join(reached, ["root", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 2, direction: str = "out") -> DataFrame:
+    """(id, hop): nodes first reached from any seed after ``hop`` steps."""
+    steps = _steps(edges, direction)
+    reached = frontier = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
         found = frontier.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         frontier = materialize(found.join(reached, "id", "left_anti").withColumn("hop", F.lit(hop)))

@@ -180,8 +180,11 @@ def apply_priors(df: DataFrame, priors: DataFrame) -> DataFrame:
     return out.select(*df.columns, *PRIOR_KEYS, "payment_format_encoded")
 
 
-def account_states(tx: DataFrame) -> DataFrame:
-    """One row per account. A transfer is turned into its two sides, so one aggregation does both."""
+STATE_SUMS = ("total_amount_paid", "total_amount_received", "amount_sum_sq")
+
+
+def account_sums(tx: DataFrame) -> DataFrame:
+    """One row per account with exact decimal sums. A transfer is turned into its two sides, so one aggregation does both."""
     zero = F.lit(0).cast("decimal(18,2)")
     paid = F.col("amount_paid").cast("decimal(18,2)")
     sides = F.array(
@@ -190,9 +193,13 @@ def account_states(tx: DataFrame) -> DataFrame:
         F.struct(F.col("to_account").alias("account_id"), F.lit(0).alias("sent"), zero.alias("paid"),
                  F.col("amount_received").cast("decimal(18,2)").alias("received"), F.lit(None).cast(tx.schema["ts"].dataType).alias("sent_at")))
     return tx.select(F.explode(sides).alias("s")).select("s.*").groupBy("account_id").agg(
-        F.sum("sent").alias("transaction_count"), F.sum("paid").cast("double").alias("total_amount_paid"),
-        F.sum("received").cast("double").alias("total_amount_received"), F.sum(F.col("paid") * F.col("paid")).cast("double").alias("amount_sum_sq"),
-        F.max("sent_at").alias("last_transaction_timestamp"))
+        F.sum("sent").alias("transaction_count"), F.sum("paid").alias("total_amount_paid"), F.sum("received").alias("total_amount_received"),
+        F.sum(F.col("paid") * F.col("paid")).alias("amount_sum_sq"), F.max("sent_at").alias("last_transaction_timestamp"))
+
+
+def account_states(tx: DataFrame) -> DataFrame:
+    """The sums as numbers for a model."""
+    return account_sums(tx).withColumns({c: F.col(c).cast("double") for c in STATE_SUMS})
 
 
 def fresh_profiles(states: DataFrame, as_of: Column, ttl_seconds: int = 300, updated: str = "last_transaction_timestamp") -> DataFrame:

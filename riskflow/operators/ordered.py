@@ -7,7 +7,7 @@ partitioned by (key, order), each task becomes one chunk, and what earlier chunk
 an extra row per (key, chunk). The chunk layout is checkpointed, so chunk numbers stay the same when a lost
 task is run again.
 
-* ``locate_hot_keys``  keys with more rows than a limit (measured, at most ``MAX_HOT`` of them)
+* ``locate_hot_keys``  all keys with more rows than a limit (measured, NULL included)
 * ``over_history``     running aggregates and short look-back frames per key
 * ``scan``             running aggregates for many keys at once over one time order (few, huge groups)
 * ``global_index``     position of every row in a total order
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskflow.functions.rows import null_safe_join
 from riskflow.session import materialize
 
 HOT_KEY_ROWS = 2_000_000
-MAX_HOT = 1000
 
 MERGE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -35,31 +35,23 @@ Frames = Mapping[str, Callable[[WindowSpec], Column]]
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys to be chunked. ``keys`` is bounded by MAX_HOT rows, so it can always be broadcast."""
+    """Keys to be chunked, as a written table: Spark knows its size and picks the join. NULL is a key like any other."""
 
     columns: tuple[str, ...]
     keys: DataFrame
 
     def hot_part(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.keys), list(self.columns), "left_semi").select(*df.columns)
+        return null_safe_join(df, self.keys, self.columns, "left_semi").select(*df.columns)
 
     def cold_part(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.keys), list(self.columns), "left_anti").select(*df.columns)
+        return null_safe_join(df, self.keys, self.columns, "left_anti").select(*df.columns)
 
 
 def locate_hot_keys(df: DataFrame, columns: str | Sequence[str], limit: int = HOT_KEY_ROWS) -> HotKeys | None:
-    """One pre-aggregated count per key. Any key outside the result has at most ``limit`` rows, or less than
-    1 / MAX_HOT of the table when more than MAX_HOT keys pass the limit."""
+    """One pre-aggregated count per key. Any key outside the result has at most ``limit`` rows."""
     columns = (columns,) if isinstance(columns, str) else tuple(columns)
-    found = (
-        df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-        .orderBy(F.desc("_n")).limit(MAX_HOT)
-    ).collect()
-    if not found:
-        return None
-    schema = df.select(*columns).schema
-    rows = [tuple(r[c] for c in columns) for r in found if all(r[c] is not None for c in columns)]
-    return HotKeys(columns, df.sparkSession.createDataFrame(rows, schema)) if rows else None
+    found = materialize(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*columns))
+    return None if found.isEmpty() else HotKeys(columns, found)
 
 
 def lay_out(df: DataFrame, order: Sequence[str | Column], chunks: int | None = None) -> DataFrame:
@@ -208,7 +200,7 @@ def running_with_peers(df: DataFrame, key: str, order: str, running: Running, ho
                            running={f"_old_{n}": (how, F.col(f"_own_{n}")) for n, (how, _) in running.items()})
     merged = carried.select(key, order, *[_merge(how, F.col(f"_old_{n}"), F.col(f"_own_{n}")).alias(n)
                                           for n, (how, _) in running.items()])
-    return result.unionByName(rows.join(merged, [key, order]).select(*result.columns))
+    return result.unionByName(null_safe_join(rows, merged, [key, order]).select(*result.columns))
 
 
 def _merge(how: str, left: Column, right: Column) -> Column:
@@ -235,7 +227,7 @@ def ranks_within(df: DataFrame, key: str, value: str, tie: str, hot: HotKeys | N
     levels = over_history(values, key, ["_down"], hot=hot, chunks=chunks,
                           running={"_above": ("sum", F.col("_n")), "_levels": ("sum", F.lit(1))})
     one = F.lit(1)
-    ranked = numbered.join(levels, [key, "_down"]).select(
+    ranked = null_safe_join(numbered, levels, [key, "_down"]).select(
         *df.columns,
         (F.coalesce("_before", F.lit(0)) + one).cast("long").alias("row_num"),
         (F.coalesce("_above", F.lit(0)) + one).cast("long").alias("rank_num"),

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskflow.functions.numbers import micros
+from riskflow.functions.rows import null_safe_join
 from riskflow.operators.ordered import HotKeys, locate_hot_keys, over_chunks
 
 SECOND = 1_000_000
@@ -72,7 +73,7 @@ def _hot_velocity(rows: DataFrame, columns: Sequence[str], key: str, amount: str
     # one row per (account, instant): copies of an instant, however many, are combined before the shuffle
     instants = events.groupBy(key, "at").agg(*[F.sum(n).alias(n) for n in names])
     running = over_chunks(instants, [key], ["at"], {f"_{n}": ("sum", F.col(n)) for n in names}, chunks=chunks)
-    result = rows.join(running.select(key, F.col("at").alias("_at"), *[f"_{n}" for n in names]), [key, "_at"])
+    result = null_safe_join(rows, running.select(key, F.col("at").alias("_at"), *[f"_{n}" for n in names]), [key, "_at"])
     for h, seconds in extremes.items():
         result = _hot_extremes(result, key, amount, h, seconds, chunks)
     return result.select(
@@ -115,9 +116,9 @@ def _hot_extremes(rows: DataFrame, key: str, amount: str, name: str, seconds: in
     tail = over_chunks(backwards, [key, "_block"], ["_back"], {"_later_hi": ("max", F.col("_hi")), "_later_lo": ("min", F.col("_lo"))}, chunks=chunks)
     tail = tail.select(key, (F.col("_at") + span).alias("_at"), F.greatest("_hi", "_later_hi").alias("_tail_hi"),
                        F.least("_lo", "_later_lo").alias("_tail_lo"))
-    both = head.join(tail, [key, "_at"]).select(
+    both = null_safe_join(head, tail, [key, "_at"]).select(
         key, "_at", F.greatest("_head_hi", "_tail_hi").alias(f"_max_{name}"), F.least("_head_lo", "_tail_lo").alias(f"_min_{name}"))
-    return rows.join(both, [key, "_at"])
+    return null_safe_join(rows, both, [key, "_at"])
 
 
 def receiver_velocity(df: DataFrame, hot_limit: int = HOT_VELOCITY_ROWS, chunks: int | None = None) -> DataFrame:
@@ -141,7 +142,7 @@ def with_previous_time(df: DataFrame, key: str, name: str, cold: float, horizon:
         rows = hot.hot_part(timed)
         instants = rows.groupBy(key, "_at").agg(F.lit(1).alias("_x"))
         earlier = over_chunks(instants, [key], ["_at"], {"_prev": ("max", F.col("_at"))}, chunks=chunks).select(key, "_at", "_prev")
-        found = cold_rows.unionByName(rows.join(earlier, [key, "_at"]).select(*cold_rows.columns))
+        found = cold_rows.unionByName(null_safe_join(rows, earlier, [key, "_at"]).select(*cold_rows.columns))
     gap = (F.col("_at") - F.col("_prev")) / F.lit(float(SECOND))
     if horizon is not None:
         gap = F.when(gap <= horizon, gap)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskflow.functions.numbers import count_rows, count_where, iso_weekday, rate_pct, time_key
+from riskflow.functions.rows import one_per_key
 from riskflow.operators.ordered import global_index
 from riskflow.session import sized
 
@@ -134,7 +135,7 @@ def build_warehouse(tx: DataFrame) -> Warehouse:
 
 def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that may be appended: new by natural key, one per key within the batch."""
-    fresh = rows.dropDuplicates(keys)
+    fresh = one_per_key(rows, keys)
     return fresh.join(target.select(*keys), keys, "left_anti").select(*rows.columns)
 
 

@@ -419,12 +419,15 @@ def ntile_of(pos: Column, n: Column, tiles: int) -> Column:
 
 
 def q41_percent_rank(w: Warehouse) -> DataFrame:
-    at = value_positions(w.fact.select("amount_paid"), "amount_paid")
-    rows = w.fact.select("transaction_id", "amount_paid").join(at, "amount_paid")
+    """Facts without an amount are peers of each other after all others."""
+    at = value_positions(w.fact.select("amount_paid"), "amount_paid").drop("rows")
+    whole = w.fact.agg(count_rows().alias("rows"), F.count("amount_paid").alias("known"))  # one row
+    rows = w.fact.select("transaction_id", "amount_paid").join(at, "amount_paid", "left").crossJoin(F.broadcast(whole))
+    below, upto = F.coalesce("below", "known"), F.coalesce("upto", "rows")
     return rows.select(
         "transaction_id", _paid().cast("double").alias("amount_paid"),
-        F.when(F.col("rows") == 1, 0.0).otherwise(F.col("below") / F.greatest(F.col("rows") - 1, F.lit(1))).alias("pct_rank"),
-        (F.col("upto") / F.col("rows")).alias("cume_dist_val"))
+        F.when(F.col("rows") == 1, 0.0).otherwise(below / F.greatest(F.col("rows") - 1, F.lit(1))).alias("pct_rank"),
+        (upto / F.col("rows")).alias("cume_dist_val"))
 
 
 def q42_running_volume(w: Warehouse, hot_limit: int | None = None, chunks: int | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def run_etl(tx: DataFrame, root: str, pipeline: str = "warehouse_load") -> dict[
     log = run_log_row(spark, f"RUN_{version[:8].upper()}", pipeline, status, rows, rows, time.time() - started)
     log.coalesce(1).write.mode("append").parquet(f"{root}/etl_pipeline_log")
     if failure is not None:
-        spark.createDataFrame([(version, str(failure)[:2000])], "run string, message string").coalesce(1).write.mode(
+        spark.createDataFrame([(version, str(failure))], "run string, message string").coalesce(1).write.mode(
             "append").parquet(f"{root}/etl_error_log")
         raise failure
     return {"version": version, "path": path, "status": status, "rows": rows, "audit": audit}

@@ -63,7 +63,7 @@ def score(model: PipelineModel, df: DataFrame, numeric: Sequence[str], categoric
 def search(folds: DataFrame, kind: str, grid: Iterable[Mapping[str, object]], numeric: Sequence[str], categorical: Sequence[str] = (),
            label: str = "is_laundering") -> DataFrame:
     """Mean PR-AUC over the expanding folds for each parameter set. The loop is over the small grid; each fit is a Spark job."""
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR")
+    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR", numBins=0)  # every distinct score is a point
     numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     found = []
     for params in grid:

@@ -25,5 +25,5 @@ def run_suite(spark: SparkSession, builders: Mapping[str, Callable[[], DataFrame
             frames[name] = df
             rows.append((name, count, len(df.columns), time.time() - started, "SUCCESS", None))
         except Exception as error:  # recorded, then the next query runs
-            rows.append((name, None, None, time.time() - started, "FAILED", str(error)[:500]))
+            rows.append((name, None, None, time.time() - started, "FAILED", str(error)))
     return frames, spark.createDataFrame(rows, STATUS_SCHEMA)

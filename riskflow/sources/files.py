@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.functions.rows import one_per_key
 from riskflow.schema import ACCOUNTS_SCHEMA, CLEAN_SCHEMA, RAW_SCHEMA
+from riskflow.streaming.sources import table_or_none
 
 
 def read_transactions(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
@@ -73,12 +75,14 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
 
 
 def new_history_rows(history: DataFrame, batch: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """Batch rows whose key the history does not hold yet, one per key."""
-    return batch.dropDuplicates([key]).join(history.select(key), key, "left_anti").select(*batch.columns)
+    """Batch rows whose key the history does not hold yet, one per key (the same one in every run)."""
+    return one_per_key(batch, [key]).join(history.select(key), key, "left_anti").select(*batch.columns)
 
 
 def append_history(history_path: str, batch: DataFrame, key: str = "transaction_id") -> None:
-    history = batch.sparkSession.read.schema(batch.schema).parquet(history_path)
+    """The first batch starts the history."""
+    stored = table_or_none(batch.sparkSession, history_path)
+    history = batch.limit(0) if stored is None else stored
     new_history_rows(history, batch, key).write.mode("append").parquet(history_path)
 
 

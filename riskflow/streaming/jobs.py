@@ -1,152 +1,142 @@
-"""Structured Streaming jobs: account states, sliding velocity, activity windows and scoring."""
+"""Structured Streaming jobs: account states, sliding velocity, activity windows, bursts and scoring.
+
+The jobs run as micro-batches over stored tables. They hold no watermark, so no event is too late: a batch adds what it
+brings, whenever that happened, and readers merge the batches. A repeated key is ignored for all time, not only within a
+delay. Every job takes its checkpoint from the caller and can be stopped and started again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
 from riskflow.functions.numbers import count_rows
-from riskflow.operators.online import account_states, point_in_time_features
-from riskflow.streaming.sources import batch_folder, run_available, table_or_none, with_event_time
+from riskflow.functions.rows import one_per_key
+from riskflow.operators.online import STATE_SUMS, account_sums, point_in_time_features
+from riskflow.operators.velocity import velocity_windows, with_previous_time
+from riskflow.streaming.sources import BatchTable, run_available
+
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def unseen(rows: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
+    """One row per key that no earlier batch has brought."""
+    once = one_per_key(rows, [key])
+    return once if stored is None else once.join(stored.select(key), key, "left_anti").select(*rows.columns)
 
 
 # ---- account states -------------------------------------------------------------------------------------------
 
-def account_states_stream(stream: DataFrame, path: str, delay: str = "1 hour", key: str = "transaction_id") -> None:
-    """Every batch adds one row per account it touched. States only hold sums and a maximum, so the increments of
-    all batches merge into the current state; a repeated event id within the watermark is ignored."""
-    unique = with_event_time(stream, delay=delay).dropDuplicatesWithinWatermark([key])
+def account_states_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "transaction_id") -> None:
+    """Every batch adds one row per account it touched, with exact sums, and the keys it brought."""
+    spark = stream.sparkSession
+    states, keys = BatchTable(spark, f"{path}/states", checkpoint), BatchTable(spark, f"{path}/keys", checkpoint)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        account_states(batch.drop("event_time")).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        fresh = unseen(batch, keys.before(batch_id), key)
+        states.write(account_sums(fresh), batch_id)
+        keys.write(fresh.select(key), batch_id)
 
-    run_available(unique, sink)
+    run_available(stream, sink, checkpoint)
 
 
 def current_states(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("account_id").agg(
-        F.sum("transaction_count").alias("transaction_count"),
-        F.sum(F.col("total_amount_paid").cast("decimal(28,2)")).cast("double").alias("total_amount_paid"),
-        F.sum(F.col("total_amount_received").cast("decimal(28,2)")).cast("double").alias("total_amount_received"),
-        F.sum(F.col("amount_sum_sq").cast("decimal(38,4)")).cast("double").alias("amount_sum_sq"),
+    return spark.read.parquet(f"{path}/states").groupBy("account_id").agg(
+        F.sum("transaction_count").alias("transaction_count"), *[F.sum(c).cast("double").alias(c) for c in STATE_SUMS],
         F.max("last_transaction_timestamp").alias("last_transaction_timestamp"))
 
 
 # ---- sliding velocity -----------------------------------------------------------------------------------------
 
-HORIZON_MICROS = {"count_10s": 10_000_000, "count_1m": 60_000_000, "count_1h": 3_600_000_000, "count_24h": 86_400_000_000}
-VELOCITY_SCHEMA = StructType([StructField("event_id", LongType()), *[StructField(n, LongType()) for n in HORIZON_MICROS]])
-
+def velocity_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "event_id", account: str = "user_id", other: str = "event_type",
+                    amount: str = "value", hot_limit: int | None = None) -> None:
+    """Counts, volumes, extremes, average and distinct counterparties of the sending side, in-degree and time since the
+    last event of the receiving side, for every new event. A batch meets the stored events of the days it can look
+    back to (the store is cut by day, and only those days are read); busy accounts take the linear route of
+    ``velocity_windows``, so no task holds an account's day."""
+    spark = stream.sparkSession
+    events, results = BatchTable(spark, f"{path}/events", checkpoint), BatchTable(spark, f"{path}/velocity", checkpoint)
+    limit = {} if hot_limit is None else {"hot_limit": hot_limit}
 
-class SlidingVelocity(StatefulProcessor):
-    """Keeps the event times of the last 24 hours per account and counts them for each new event.
-
-    State is pruned by event time on every call and cleared by a timer 24 hours after the last event, so an account
-    holds one day of events and nothing older.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._seen = handle.getListState("seen", StructType([StructField("at", LongType())]))
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        days = batch.agg(F.min("ts").cast("date").alias("low"), F.max("ts").cast("date").alias("high")).first()
+        if days["low"] is None:
+            return
+        stored = events.before(batch_id)
+        near = None if stored is None else stored.where(
+            (F.col("day") >= F.date_sub(F.lit(days["low"]), 1)) & (F.col("day") <= F.lit(days["high"]))).select(*batch.columns)
+        fresh = unseen(batch, near, key)
+        events.write(fresh.withColumn("day", F.col("ts").cast("date")), batch_id, ("day",))
+        marked = fresh.withColumn("_new", F.lit(True))
+        both = marked if near is None else marked.unionByName(near.withColumn("_new", F.lit(False)))
+        sent = velocity_windows(both, account, "ts", amount, other, **limit).withColumn(
+            "avg_24h", F.when(F.col("count_24h") > 0, F.col("volume_24h") / F.col("count_24h")))
+        got = velocity_windows(sent.withColumnRenamed("distinct_24h", "_sent"), other, "ts", amount, account, counts={}, volumes={}, extremes={}, **limit)
+        got = with_previous_time(got.withColumnsRenamed({"distinct_24h": "receiver_in_degree_24h", "_sent": "distinct_24h"}),
+                                 other, "receiver_seconds_since_last", 86_400.0, 86_400)
+        results.write(got.where("_new").drop("_new", *[c for c in batch.columns if c != key]), batch_id)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        longest = max(HORIZON_MICROS.values())
-        old = np.fromiter((r[0] for r in self._seen.get()), dtype=np.int64)
-        times = np.sort(np.concatenate([old, new["at"].to_numpy(np.int64)]))
-        at = new["at"].to_numpy(np.int64)
-        upto = np.searchsorted(times, at, side="left")
-        out = {"event_id": new["event_id"].to_numpy(np.int64)}
-        for name, span in HORIZON_MICROS.items():
-            out[name] = upto - np.searchsorted(times, at - span, side="left")
-        last = int(times[-1])
-        self._seen.put([(int(t),) for t in times[times >= last - longest]])
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer((last + longest) // 1000 + 1)
-        yield pd.DataFrame(out)
+    run_available(stream, sink, checkpoint)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._seen.clear()
-        return iter([])
 
-    def close(self) -> None:
-        pass
+def stored_velocity(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/velocity").drop("run", "batch_id")
 
 
-def velocity_stream(stream: DataFrame, path: str, account: str = "user_id", delay: str = "1 hour") -> None:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    timed = with_event_time(stream, delay=delay).select(account, "event_id", "event_time", F.unix_micros("event_time").alias("at"))
-    counted = timed.groupBy(account).transformWithStateInPandas(
-        statefulProcessor=SlidingVelocity(), outputStructType=VELOCITY_SCHEMA, outputMode="Append", timeMode="EventTime")
+# ---- activity windows and bursts ------------------------------------------------------------------------------
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+def windowed_activity(df: DataFrame, account: str, length: str, slide: str | None = None) -> DataFrame:
+    """Counts and exact volume per account and tumbling or sliding window."""
+    return df.groupBy(account, F.window(F.col("ts").cast("timestamp"), length, slide or length).alias("w")).agg(
+        count_rows().alias("event_count"), F.sum("amount").alias("volume")).select(
+        account, F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        "event_count", "volume")
 
-    run_available(counted, sink)
 
+def activity_stream(stream: DataFrame, path: str, checkpoint: str, account: str, length: str, slide: str | None = None) -> None:
+    """Each batch writes what it adds to its windows, however old they are."""
+    parts = BatchTable(stream.sparkSession, path, checkpoint)
+    run_available(stream, lambda batch, batch_id: parts.write(windowed_activity(batch, account, length, slide), batch_id), checkpoint)
 
-# ---- activity windows -----------------------------------------------------------------------------------------
 
-def windowed_activity(df: DataFrame, account: str, length: str, slide: str | None = None) -> DataFrame:
-    """Counts and volume per account and tumbling or sliding window; the same plan for a batch and a stream."""
-    return df.groupBy(account, F.window("event_time", length, slide or length).alias("w")).agg(
-        count_rows().alias("event_count"), F.sum("amount").alias("volume")).select(
-        account, F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-        "event_count", F.col("volume").cast("double").alias("volume"))
+def current_windows(spark: SparkSession, path: str, account: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy(account, "window_start", "window_end").agg(
+        F.sum("event_count").alias("event_count"), F.sum("volume").cast("double").alias("volume"))
 
 
 def session_bursts(df: DataFrame, account: str, gap: str = "300 seconds") -> DataFrame:
     """Bursts of an account: events with less than ``gap`` between neighbours."""
-    return df.groupBy(account, F.session_window("event_time", gap).alias("s")).agg(
+    return df.groupBy(account, F.session_window(F.col("ts").cast("timestamp"), gap).alias("s")).agg(
         count_rows().alias("event_count"), F.sum("amount").cast("double").alias("volume")).select(
         account, F.col("s.start").cast("timestamp_ntz").alias("session_start"), F.col("s.end").cast("timestamp_ntz").alias("session_end"),
         "event_count", "volume")
 
 
-def activity_stream(stream: DataFrame, path: str, account: str, length: str, slide: str | None = None, delay: str = "1 hour") -> None:
-    """Update mode: each batch writes the windows it changed; the newest version of a window counts."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
-
-    run_available(windowed_activity(with_event_time(stream, delay=delay), account, length, slide), sink, "update")
+def session_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Stores the events; a late one may join two bursts, so bursts are cut when they are read."""
+    events = BatchTable(stream.sparkSession, path, checkpoint)
+    run_available(stream, events.write, checkpoint)
 
 
-def newest_windows(spark: SparkSession, path: str, account: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy(account, "window_start", "window_end").agg(
-        F.max_by(F.struct("event_count", "volume"), "batch_id").alias("v")).select(account, "window_start", "window_end", "v.*")
-
-
-def session_stream(stream: DataFrame, path: str, account: str, gap: str = "300 seconds", delay: str = "1 hour") -> None:
-    """Append mode: a burst is written once, when the watermark has passed its end."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
-
-    run_available(session_bursts(with_event_time(stream, delay=delay), account, gap), sink)
+def current_sessions(spark: SparkSession, path: str, account: str, gap: str = "300 seconds") -> DataFrame:
+    """All bursts so far, those that are still open too."""
+    return session_bursts(spark.read.parquet(path), account, gap)
 
 
 # ---- scoring --------------------------------------------------------------------------------------------------
 
-def scoring_stream(stream: DataFrame, history_path: str, scores_path: str, score: Callable[[DataFrame], DataFrame],
-                   delay: str = "1 hour", key: str = "transaction_id") -> None:
-    """Per batch: read the history, build features, score, write scores, and only then store the batch as history,
-    so no row sees itself. The batch's own folder is left out when it runs again."""
-    unique = with_event_time(stream, delay=delay).dropDuplicatesWithinWatermark([key])
+def scoring_stream(stream: DataFrame, history_path: str, scores_path: str, checkpoint: str, score: Callable[[DataFrame], DataFrame],
+                   key: str = "transaction_id") -> None:
+    """Per batch: features from every stored or just arrived event that is strictly earlier in time, then scores, then
+    the batch becomes history. A row never sees itself, and scores do not depend on how events are cut into batches."""
+    spark = stream.sparkSession
+    history, scores = BatchTable(spark, history_path, checkpoint), BatchTable(spark, scores_path, checkpoint)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.drop("event_time")
-        stored = table_or_none(rows.sparkSession, history_path)
-        history = rows.limit(0) if stored is None else stored.where(F.col("batch_id") < batch_id).select(*rows.columns)
-        scored = score(point_in_time_features(rows, history))
-        scored.write.mode("overwrite").parquet(batch_folder(scores_path, batch_id))
-        rows.write.mode("overwrite").parquet(batch_folder(history_path, batch_id))
-
-    run_available(unique, sink)
+        stored = history.before(batch_id)
+        rows = unseen(batch, stored, key)
+        seen = rows if stored is None else rows.unionByName(stored.select(*rows.columns))
+        scores.write(score(point_in_time_features(rows, seen)), batch_id)
+        history.write(rows, batch_id)
+
+    run_available(stream, sink, checkpoint)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from riskflow.session import staging_path
-
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -18,22 +17,29 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, files_per_b
     return reader.parquet(path)
 
 
-def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Watermarks need a zoned time; the session zone is UTC, so the wall clock is kept."""
-    return df.withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", delay)
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Process everything that has arrived since the last run with this ``checkpoint`` and stop. The checkpoint belongs
+    to the job's tables: a restarted job goes on where it stopped, and a batch that runs again after a failure gets the
+    same number, which the sinks use to write it exactly once."""
+    query = stream.writeStream.foreachBatch(sink).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+    query.awaitTermination()
+
 
+class BatchTable:
+    """A table written one batch at a time. Batches of another checkpoint never overwrite each other, because the folder
+    of a batch names both."""
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process everything that is there and stop. The checkpoint sits in the shared folder; a batch that runs again
-    after a failure gets the same batch number, which the sinks use to write it exactly once."""
-    query = (
-        stream.writeStream.foreachBatch(sink).outputMode(mode).trigger(availableNow=True)
-        .option("checkpointLocation", staging_path(stream.sparkSession, "stream")).start())
-    query.awaitTermination()
+    def __init__(self, spark: SparkSession, path: str, checkpoint: str):
+        self.spark, self.path = spark, path
+        self.run = "r" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
+    def write(self, rows: DataFrame, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/run={self.run}/batch_id={batch_id}")
 
-def batch_folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
+    def before(self, batch_id: int) -> DataFrame | None:
+        """What other batches have written; a batch that runs again does not see its own first attempt."""
+        stored = table_or_none(self.spark, self.path)
+        return None if stored is None else stored.where((F.col("run") != self.run) | (F.col("batch_id") != batch_id)).drop("run", "batch_id")
 
 
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
