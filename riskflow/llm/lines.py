@@ -108,7 +108,8 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ``cuts`` and ``copied_from`` come after them."""
     lost = materialize(removals(docs, id_column, text_column))
     packed = docs.select(F.struct("*").alias("_row"), *_identity(id_column, text_column))
-    joined = packed.join(lost, KEY, "left")
+    # one plan at every size: both sides are shuffled by key and merged, never broadcast when the list happens to be short
+    joined = packed.join(lost.hint("merge"), KEY, "left")
     text = F.col("_row").getField(text_column)
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.exists(
         F.col("cuts"), lambda c: (i >= c["first_line"]) & (i < c["first_line"] + c["n_lines"]))), "\n")
