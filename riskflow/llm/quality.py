@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,11 +231,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", prior: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that are predicted 1, with all their columns. A row is known by its id and text hash."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = materialize(measured(docs, id_column, text_column))
-    scored = score(rows, learn(rows, labels, prior))
-    bad = scored.where(F.col("score") < THRESHOLD).select(F.col("id").isNull().alias("_no_id"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("row").alias("_hash")).distinct()
-    packed = docs.select(
-        F.struct("*").alias("_row"), F.col(id_column).isNull().alias("_no_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(0)).alias("_id"), F.xxhash64(text).alias("_hash"))
-    return packed.join(bad, ["_no_id", "_id", "_hash"], "left_anti").select("_row.*")
+    """The rows of ``docs`` that are predicted 1, with all their columns. Rows are scored where they are read: measuring a
+    text again costs less than shuffling it to a list of verdicts."""
+    model = learn(materialize(measured(docs, id_column, text_column)), labels, prior)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([measures(text) for text in texts], float).reshape(-1, len(MEASURES))
+            yield pd.Series(np.round(model.score(x), 6))
+
+    return docs.where(scored(F.coalesce(F.col(text_column).cast("string"), F.lit(""))) >= THRESHOLD)
