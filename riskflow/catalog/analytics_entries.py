@@ -1,10 +1,12 @@
 """Numbered queries, reporting views and documented queries."""
 
+from pyspark.sql import functions as F
+
 from riskflow.catalog.registry import big, pct, register, rounded, total, with_tx
 from riskflow.plans import analytics as a
+from riskflow.operators.warehouse import UNKNOWN_KEY, Warehouse
 from riskflow.plans.load import staged_warehouse
 from riskflow.plans.suite import run_suite
-from riskflow.sources.star_tables import transactions
 
 DAY = "CAST(ts AS DATE)"
 N = big("COUNT(*)")
@@ -185,25 +187,18 @@ AS_OF = "2001-06-01 00:00:00"
 RECENT = f"ts >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR"
 
 
-def _tx(name, build, sql, columns=None):
-    register(name, lambda spark, sf: build(transactions(spark, sf, columns)), with_tx(sql))
-
-
-_PAID = ["from_account", "ts", "amount_paid", "is_laundering"]
-_tx("a36_top_outbound_24h", lambda tx: a.top_outbound(tx, AS_OF),
+_warehouse("a36_top_outbound_24h", lambda w: a.top_outbound(w, AS_OF),
     f"""SELECT from_account AS account_id, {N} AS total_transactions_24h, {VOLUME} AS total_volume_paid,
         CAST(MAX(amount_paid) AS DOUBLE) AS peak_transaction_size, {FRAUD} AS flagged_fraud_count FROM tx WHERE {RECENT}
-        GROUP BY 1 ORDER BY SUM(amount_paid) DESC, 1 LIMIT 10""", _PAID)
-_tx("a36_velocity_summary", lambda tx: a.velocity_summary(tx, AS_OF),
+        GROUP BY 1 ORDER BY SUM(amount_paid) DESC, 1 LIMIT 10""")
+_warehouse("a36_velocity_summary", lambda w: a.velocity_summary(w, AS_OF),
     f"""SELECT from_account AS account_id, {N} AS total_tx_24h, {VOLUME} AS total_volume_usd, {VOLUME} / COUNT(*) AS avg_tx_size
-        FROM tx WHERE {RECENT} GROUP BY 1 HAVING COUNT(*) > 5""", _PAID)
-_tx("a37_cross_currency", a.cross_currency,
+        FROM tx WHERE {RECENT} GROUP BY 1 HAVING COUNT(*) > 5""")
+_warehouse("a37_cross_currency", a.cross_currency,
     f"""SELECT payment_currency, receiving_currency, {N} AS total_transfers, {rounded(f"{VOLUME} / COUNT(*)")} AS avg_amount_usd,
-        {FRAUD} AS fraud_cases, {RATE} AS fraud_rate_pct FROM tx WHERE payment_currency <> receiving_currency GROUP BY 1, 2""",
-    ["payment_currency", "receiving_currency", "amount_paid", "is_laundering"])
-_tx("a39_rail_fraud_rate", a.rail_fraud_rate,
-    f"""SELECT payment_format, {N} AS total_transactions, {FRAUD} AS fraud_cases, {RATE} AS fraud_rate_pct FROM tx GROUP BY 1""",
-    ["payment_format", "is_laundering"])
+        {FRAUD} AS fraud_cases, {RATE} AS fraud_rate_pct FROM tx WHERE payment_currency <> receiving_currency GROUP BY 1, 2""")
+_warehouse("a39_rail_fraud_rate", a.rail_fraud_rate,
+    f"""SELECT payment_format, {N} AS total_transactions, {FRAUD} AS fraud_cases, {RATE} AS fraud_rate_pct FROM tx GROUP BY 1""")
 _warehouse("a40_probe_filter", a.probe_filter,
            """SELECT transaction_id, CAST(amount_paid AS DOUBLE) AS amount_paid, is_laundering FROM tx
               WHERE is_laundering = 1 AND amount_paid > 50000""")
@@ -239,3 +234,24 @@ register("a41_suite_status", a41_suite, with_tx(f"""
     UNION ALL SELECT 'q18_repeat_offenders', COUNT(*), 3, 'SUCCESS' FROM (SELECT 1 FROM tx WHERE is_laundering = 1 GROUP BY from_account HAVING COUNT(*) > 1)
     UNION ALL SELECT 'q31_one_to_many', COUNT(*), 4, 'SUCCESS' FROM (SELECT 1 FROM tx GROUP BY from_account HAVING COUNT(DISTINCT to_account) > 3)
     UNION ALL SELECT 'q45_rolling_fraud', COUNT(DISTINCT {DAY}), 3, 'SUCCESS' FROM tx UNION ALL SELECT 'broken', NULL, NULL, 'FAILED'"""))
+
+
+def damaged(spark, sf):
+    """Bank 3 is missing in its dimension, so its facts carry the unknown key; half of the amounts are missing too."""
+    w = staged_warehouse(spark, sf)
+    lost = w.bank.where("bank_id = 3").select("bank_key").first()[0]
+    fact = w.fact.withColumns({c: F.when(F.col(c) == lost, UNKNOWN_KEY).otherwise(F.col(c)) for c in ("from_bank_key", "to_bank_key")})
+    fact = fact.withColumn("amount_paid", F.when(F.col("transaction_key") % 2 == 0, F.col("amount_paid")))
+    return Warehouse(w.time, w.bank.where("bank_id <> 3"), w.account, w.currency, w.payment_format, fact)
+
+
+GAPS = """gx AS (SELECT * REPLACE (CASE WHEN n % 2 = 0 THEN amount_paid END AS amount_paid) FROM (
+    SELECT *, ROW_NUMBER() OVER (ORDER BY ts, transaction_id) AS n FROM tx))"""
+register("q23_bank_scorecard_unknown", lambda spark, sf: a.q23_bank_scorecard(damaged(spark, sf)).select("bank_name", "total_processed_tx", "total_fraud_tx"), with_tx(
+    f"""SELECT CASE WHEN from_bank = 3 THEN 'UNKNOWN' ELSE {BANK_FROM} END AS bank_name, {N} AS total_processed_tx, {FRAUD} AS total_fraud_tx FROM tx GROUP BY 1"""))
+register("q25_intra_inter_bank_unknown", lambda spark, sf: a.q25_intra_inter_bank(damaged(spark, sf)).select("transfer_type", "total_tx"), with_tx(
+    f"""SELECT CASE WHEN from_bank = 3 OR to_bank = 3 THEN 'Unknown' WHEN from_bank = to_bank THEN 'Intra-Bank' ELSE 'Inter-Bank' END AS transfer_type,
+        {N} AS total_tx FROM tx GROUP BY 1"""))
+register("q41_percent_rank_gaps", lambda spark, sf: a.q41_percent_rank(damaged(spark, sf)), with_tx(
+    """SELECT transaction_id, CAST(amount_paid AS DOUBLE) AS amount_paid, PERCENT_RANK() OVER w AS pct_rank, CUME_DIST() OVER w AS cume_dist_val
+       FROM gx WINDOW w AS (ORDER BY amount_paid NULLS LAST)""", GAPS))

@@ -43,6 +43,12 @@ def both(tx, cfg=CFG, counterparties=False):
     return f.both_histories(tx, cfg, counterparties)
 
 
+def sender_only(tx, absent, counterparties=False):
+    """The sender's history without the shuffle by receiver; ``absent`` is the receiver's column that the stage asks for."""
+    history = f.sender_history(tx, CFG, counterparties, f.hot_accounts(tx, "from_account", CFG))
+    return history.withColumn(absent, F.lit(None).cast("decimal(28,2)" if absent == "r_total" else "long"))
+
+
 def sender(tx):
     return f.sender_history(tx, CFG, False, f.hot_accounts(tx, "from_account", CFG))
 
@@ -65,7 +71,7 @@ stage("f4_calendar", f.stage2_temporal, "hour", "weekday", "month", "quarter", "
       columns=["transaction_id", "ts"])
 stage("f5_cyclical", f.stage2_temporal, "sin_hour", "cos_hour", "sin_day", "cos_day", columns=["transaction_id", "ts"])
 stage("f6_prior_totals", lambda tx: f.stage3_behavioural(both(tx)), *F6, columns=BOTH)
-stage("f7_prior_extremes", lambda tx: f.stage3_behavioural(both(tx)), *F7, columns=BOTH)
+stage("f7_prior_extremes", lambda tx: f.stage3_behavioural(sender_only(tx, "r_total")), *F7, columns=SENDER)
 stage("f8_prior_ratios", lambda tx: f.stage3_behavioural(both(tx)), *F8, columns=BOTH)
 stage("f9_time_gaps", lambda tx: f.stage4_velocity(both(tx)), *F9, columns=BOTH)
 stage("f10_rapid_flags", lambda tx: f.stage4_velocity(both(tx)), *F10, columns=BOTH)
@@ -75,7 +81,7 @@ stage("f12_account_spread", lambda tx: f.stage5_account_spread(sender(tx)), *F12
 stage("f13_label_rates", lambda tx: f.stage6_label_rates(f.time_order_history(tx, table=False)), *F13,
       columns=[c for c in TIME if c != "amount_paid"])
 stage("f14_degrees", lambda tx: f.stage7_network(both(tx, CFG, True)), "sender_out_degree", "receiver_in_degree", columns=BOTH)
-stage("f15_counterparties", lambda tx: f.stage7_network(both(tx, CFG, True)), "unique_counterparties", columns=BOTH)
+stage("f15_counterparties", lambda tx: f.stage7_network(sender_only(tx, "r_count", True)), "unique_counterparties", columns=SENDER)
 stage("f16_lags", lambda tx: f.stage8_rolling(sender(tx)), *F16, columns=SENDER)
 stage("f17_rolling", lambda tx: f.stage8_rolling(sender(tx)), *F17, columns=SENDER)
 stage("f18_differences", lambda tx: f.stage8_rolling(sender(tx)), *F18, columns=SENDER)

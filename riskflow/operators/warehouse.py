@@ -140,9 +140,10 @@ def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> Dat
 
 
 def denormalize(w: Warehouse) -> DataFrame:
-    """The fact with all natural names; each dimension plays its role under its own alias."""
+    """The fact with all natural names; each dimension plays its role under its own alias. Facts of an unknown member
+    stay, with a NULL name."""
     f = w.fact.drop("tx_month")
-    joined = f.join(w.time.select("time_key", F.col("full_timestamp").alias("ts")), "time_key")
+    joined = f.join(w.time.select("time_key", F.col("full_timestamp").alias("ts")), "time_key", "left")
     for dim, key, name, role_key, role in (
         (w.bank, "bank_key", "bank_id", "from_bank_key", "from_bank"),
         (w.bank, "bank_key", "bank_id", "to_bank_key", "to_bank"),
@@ -152,7 +153,7 @@ def denormalize(w: Warehouse) -> DataFrame:
         (w.currency, "currency_key", "currency_code", "payment_currency_key", "payment_currency"),
         (w.currency, "currency_key", "currency_code", "receiving_currency_key", "receiving_currency"),
     ):
-        joined = joined.join(dim.select(F.col(key).alias(role_key), F.col(name).alias(role)), role_key)
+        joined = joined.join(dim.select(F.col(key).alias(role_key), F.col(name).alias(role)), role_key, "left")
     return joined.select(
         "transaction_key", "transaction_id", "time_key", "ts", "from_bank_key", "from_bank", "from_account_key",
         "from_account", "to_bank_key", "to_bank", "to_account_key", "to_account", "payment_format_key",

@@ -8,6 +8,7 @@ which keeps the groups the same.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +18,7 @@ from riskflow.functions.numbers import count_rows, rate_pct, round_half_up
 from riskflow.operators.ordered import (
     HotKeys, global_index, locate_hot_keys, over_history, ranks_within, running_with_peers, value_positions,
 )
-from riskflow.operators.warehouse import Warehouse
+from riskflow.operators.warehouse import UNKNOWN_KEY, Warehouse
 
 
 def _paid() -> Column:
@@ -47,27 +48,33 @@ def _volume(name: str = "volume") -> Column:
 
 def _with_time(w: Warehouse, df: DataFrame, *columns: str) -> DataFrame:
     named = [F.to_date("full_timestamp").alias("transaction_date") if c == "transaction_date" else F.col(c) for c in columns]
-    return df.join(w.time.select("time_key", *named), "time_key")
+    return df.join(w.time.select("time_key", *named), "time_key", "left")
 
 
 def _by_time(w: Warehouse, *columns: str) -> DataFrame:
     return _merge(_with_time(w, _partial(w.fact, "time_key"), *columns), *columns)
 
 
+def _named(df: DataFrame, dim: DataFrame, dim_key: str, natural: str, key: str, name: str) -> DataFrame:
+    """Facts of an unknown member keep their place under the name UNKNOWN."""
+    side = dim.select(F.col(dim_key).alias(key), F.col(natural).alias(name))
+    return df.join(side, key, "left").withColumn(name, F.coalesce(name, F.lit("UNKNOWN")))
+
+
 def _account_name(w: Warehouse, df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.join(w.account.select(F.col("account_key").alias(key), F.col("account_number").alias(name)), key)
+    return _named(df, w.account, "account_key", "account_number", key, name)
 
 
 def _bank_name(w: Warehouse, df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.join(w.bank.select(F.col("bank_key").alias(key), F.col("bank_name").alias(name)), key)
+    return _named(df, w.bank, "bank_key", "bank_name", key, name)
 
 
 def _format_name(w: Warehouse, df: DataFrame, name: str) -> DataFrame:
-    return df.join(w.payment_format.select("payment_format_key", F.col("format_name").alias(name)), "payment_format_key")
+    return _named(df, w.payment_format, "payment_format_key", "format_name", "payment_format_key", name)
 
 
 def _currency_code(w: Warehouse, df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.join(w.currency.select(F.col("currency_key").alias(key), F.col("currency_code").alias(name)), key)
+    return _named(df, w.currency, "currency_key", "currency_code", key, name)
 
 
 # ---- totals -------------------------------------------------------------------------------------------------
@@ -269,7 +276,8 @@ def q24_bank_matrix(w: Warehouse) -> DataFrame:
 
 
 def q25_intra_inter_bank(w: Warehouse) -> DataFrame:
-    kind = F.when(F.col("from_bank_key") == F.col("to_bank_key"), "Intra-Bank").otherwise("Inter-Bank")
+    known = (F.col("from_bank_key") != UNKNOWN_KEY) & (F.col("to_bank_key") != UNKNOWN_KEY)
+    kind = F.when(~known, "Unknown").when(F.col("from_bank_key") == F.col("to_bank_key"), "Intra-Bank").otherwise("Inter-Bank")
     return w.fact.groupBy(kind.alias("transfer_type")).agg(
         count_rows().alias("total_tx"), F.sum(_label()).alias("fraud_tx"),
         rate_pct(F.sum(_label()), count_rows()).alias("fraud_rate_pct"))
@@ -565,29 +573,34 @@ def vw_fraud_hotspots(w: Warehouse) -> DataFrame:
 
 # ---- documented queries over transaction history ------------------------------------------------------------
 
-def recent(tx: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    start = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
-    return tx.where(F.col("ts") >= start)
+def recent(w: Warehouse, as_of: str, hours: int = 24) -> DataFrame:
+    """Facts from so many hours before ``as_of`` on. The month folder and the minute key are plain numbers, so folders are
+    skipped and the key bound reaches the files."""
+    start = datetime.fromisoformat(as_of) - timedelta(hours=hours)
+    return w.fact.where((F.col("tx_month") >= int(f"{start:%Y%m}")) & (F.col("time_key") >= int(f"{start:%Y%m%d%H%M}")))
 
 
-def top_outbound(tx: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    return recent(tx, as_of, hours).groupBy(F.col("from_account").alias("account_id")).agg(
+def top_outbound(w: Warehouse, as_of: str, hours: int = 24) -> DataFrame:
+    sums = recent(w, as_of, hours).groupBy("from_account_key").agg(
         count_rows().alias("total_transactions_24h"), F.sum(_paid()).alias("volume"),
-        F.max(_paid()).cast("double").alias("peak_transaction_size"), F.sum(_label()).alias("flagged_fraud_count"),
-    ).orderBy(F.desc("volume"), "account_id").limit(10).select(
+        F.max(_paid()).cast("double").alias("peak_transaction_size"), F.sum(_label()).alias("flagged_fraud_count"))
+    return _account_name(w, sums, "from_account_key", "account_id").orderBy(F.desc("volume"), "account_id").limit(10).select(
         "account_id", "total_transactions_24h", _volume().alias("total_volume_paid"), "peak_transaction_size", "flagged_fraud_count")
 
 
-def velocity_summary(tx: DataFrame, as_of: str, hours: int = 24, more_than: int = 5) -> DataFrame:
-    return recent(tx, as_of, hours).groupBy(F.col("from_account").alias("account_id")).agg(
-        count_rows().alias("total_tx_24h"), F.sum(_paid()).cast("double").alias("total_volume_usd"),
-    ).where(F.col("total_tx_24h") > more_than).withColumn("avg_tx_size", F.col("total_volume_usd") / F.col("total_tx_24h"))
+def velocity_summary(w: Warehouse, as_of: str, hours: int = 24, more_than: int = 5) -> DataFrame:
+    sums = recent(w, as_of, hours).groupBy("from_account_key").agg(
+        count_rows().alias("total_tx_24h"), F.sum(_paid()).cast("double").alias("total_volume_usd")).where(F.col("total_tx_24h") > more_than)
+    return _account_name(w, sums, "from_account_key", "account_id").select(
+        "account_id", "total_tx_24h", "total_volume_usd", (F.col("total_volume_usd") / F.col("total_tx_24h")).alias("avg_tx_size"))
 
 
-def cross_currency(tx: DataFrame) -> DataFrame:
-    return tx.where(F.col("payment_currency") != F.col("receiving_currency")).groupBy("payment_currency", "receiving_currency").agg(
-        count_rows().alias("total_transfers"), round_half_up(F.sum(_paid()).cast("double") / count_rows()).alias("avg_amount_usd"),
-        F.sum(_label()).alias("fraud_cases"), rate_pct(F.sum(_label()), count_rows()).alias("fraud_rate_pct")).orderBy(F.desc("fraud_cases"))
+def cross_currency(w: Warehouse) -> DataFrame:
+    sums = _partial(w.fact.where(F.col("payment_currency_key") != F.col("receiving_currency_key")), "payment_currency_key", "receiving_currency_key")
+    named = _currency_code(w, _currency_code(w, sums, "payment_currency_key", "payment_currency"), "receiving_currency_key", "receiving_currency")
+    return named.orderBy(F.desc("fraud")).select(
+        "payment_currency", "receiving_currency", F.col("n").alias("total_transfers"), round_half_up(_volume() / F.col("n")).alias("avg_amount_usd"),
+        F.col("fraud").alias("fraud_cases"), rate_pct(F.col("fraud"), F.col("n")).alias("fraud_rate_pct"))
 
 
 def account_state_lookup(states: DataFrame, accounts: list[str]) -> DataFrame:
@@ -596,10 +609,10 @@ def account_state_lookup(states: DataFrame, accounts: list[str]) -> DataFrame:
         F.sqrt("amount_sum_sq").alias("amount_rms_scale"), "last_transaction_timestamp")
 
 
-def rail_fraud_rate(tx: DataFrame) -> DataFrame:
-    return tx.groupBy("payment_format").agg(
-        count_rows().alias("total_transactions"), F.sum(_label()).alias("fraud_cases"),
-        rate_pct(F.sum(_label()), count_rows()).alias("fraud_rate_pct")).orderBy(F.desc("fraud_rate_pct"))
+def rail_fraud_rate(w: Warehouse) -> DataFrame:
+    return _format_name(w, _partial(w.fact, "payment_format_key"), "payment_format").select(
+        "payment_format", F.col("n").alias("total_transactions"), F.col("fraud").alias("fraud_cases"),
+        rate_pct(F.col("fraud"), F.col("n")).alias("fraud_rate_pct")).orderBy(F.desc("fraud_rate_pct"))
 
 
 # ---- filter, join and key-range probes ----------------------------------------------------------------------

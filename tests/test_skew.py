@@ -109,3 +109,25 @@ def test_later_rows_never_change_earlier_features(skewed):
     columns = ["transaction_id", "account_total_paid", "unique_counterparties", "rolling_std_5", "amount_zscore", "bank_fraud_rate", "receiver_in_degree"]
     whole = features.build_feature_store(skewed).where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")).select(*columns)
     same(features.build_feature_store(early).select(*columns), whole)
+
+
+def test_null_key_is_split_like_any_other(spark):
+    rows = spark.createDataFrame([(None if i % 2 else f"k{i % 5}", i, float(i % 7)) for i in range(300)], "k string, t int, x double")
+    hot = ordered.locate_hot_keys(rows, "k", 50)
+    assert [r[0] for r in hot.keys.collect()] == [None]
+    running = {"s": ("sum", F.col("x"))}
+    same(ordered.over_history(rows, "k", ["t"], running), ordered.over_history(rows, "k", ["t"], running, hot=hot, chunks=6))
+    same(ordered.ranks_within(rows, "k", "x", "t"), ordered.ranks_within(rows, "k", "x", "t", hot, 6))
+    same(ordered.running_with_peers(rows, "k", "x", running), ordered.running_with_peers(rows, "k", "x", running, hot, 6))
+
+
+def test_any_number_of_hot_keys(spark):
+    rows = spark.range(3 * 1500).select((F.col("id") % 1500).alias("k"), F.col("id").alias("t"))
+    hot = ordered.locate_hot_keys(rows, "k", 2)
+    assert hot.keys.count() == 1500 and hot.cold_part(rows).count() == 0 and hot.hot_part(rows).count() == 4500
+    assert ordered.locate_hot_keys(rows, "k", 3) is None
+
+
+def test_velocity_is_the_same_on_both_sides_of_the_limit(skewed):
+    args = (skewed, "from_account", "ts", "amount_paid", "to_account")
+    same(velocity.velocity_windows(*args, hot_limit=10_000), velocity.velocity_windows(*args, hot_limit=5, chunks=5))
