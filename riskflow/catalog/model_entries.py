@@ -508,14 +508,27 @@ def all_edges(spark, sf):
 
 
 EDGES = "ed AS (SELECT DISTINCT from_account AS src, to_account AS dst FROM tx WHERE from_account <> to_account)"
-CYCLES = """RECURSIVE tx AS (""" + TX_SQL + f"""), {EDGES},
+#: Over all transfers the given tables hold about a million cycles of five accounts; up to four are listed, five over flagged ones.
+NODES = 4
+
+
+def cycles_sql(edges, nodes):
+    return f"""RECURSIVE tx AS ({TX_SQL}), {edges},
     pa AS (SELECT src AS s, dst AS last, [src, dst] AS path FROM ed WHERE dst > src
-      UNION ALL SELECT s, dst, list_append(path, dst) FROM pa JOIN ed ON src = last WHERE dst > s AND NOT list_contains(path, dst) AND len(path) < 5),
+      UNION ALL SELECT s, dst, list_append(path, dst) FROM pa JOIN ed ON src = last WHERE dst > s AND NOT list_contains(path, dst) AND len(path) < {nodes}),
     cy AS (SELECT path FROM pa JOIN ed ON src = last AND dst = s)"""
 
 
+CYCLES = cycles_sql(EDGES, NODES)
+FLAGGED_CYCLES = cycles_sql(EDGES.replace("WHERE", "WHERE is_laundering = 1 AND"), 5)
+
+
 def cycles(spark, sf):
-    return g.find_cycles(all_edges(spark, sf))
+    return g.find_cycles(all_edges(spark, sf), NODES)
+
+
+def flagged_cycles(spark, sf):
+    return g.find_cycles(g.build_edges(transactions(spark, sf, GRAPH).where(F.col("is_laundering") == 1)))
 
 
 register("g1_edges", lambda spark, sf: g.build_edges(transactions(spark, sf, GRAPH)).withColumn("amount", F.col("amount").cast("double")), with_tx(
@@ -525,6 +538,8 @@ register("g1_nodes", lambda spark, sf: g.build_nodes(transactions(spark, sf, ["f
        SELECT from_account AS id, 0 AS side FROM tx UNION ALL SELECT to_account, 1 FROM tx) GROUP BY 1"""))
 register("g2_cycles", lambda spark, sf: cycles(spark, sf).select("length", "cycle_path", "node_set"),
          f"WITH {CYCLES} SELECT len(path) AS length, array_to_string(path, '>') AS cycle_path, array_to_string(list_sort(path), ',') AS node_set FROM cy")
+register("g2_flagged_cycles", lambda spark, sf: flagged_cycles(spark, sf).select("length", "cycle_path", "node_set"),
+         f"WITH {FLAGGED_CYCLES} SELECT len(path) AS length, array_to_string(path, '>') AS cycle_path, array_to_string(list_sort(path), ',') AS node_set FROM cy")
 register("g2_node_set_cycles", lambda spark, sf: g.node_set_cycles(cycles(spark, sf)),
          f"WITH {CYCLES} SELECT array_to_string(list_sort(path), ',') AS node_set, len(path) AS length, {N} AS directed_cycles FROM cy GROUP BY 1, 2")
 
