@@ -83,8 +83,8 @@ register("v6_pearson", lambda spark, sf: round_all(v.pearson_matrix(store(spark,
          features_sql(*CHOSEN, ctes=(CORR,), tail="SELECT feature_a, feature_b, ROUND(r, 6) AS correlation FROM c"))
 register("v6_high_pairs", lambda spark, sf: round_all(v.high_pairs(v.pearson_matrix(store(spark, sf), CHOSEN), 0.6), 6, "correlation").drop("reason"),
          features_sql(*CHOSEN, ctes=(CORR,), tail="""SELECT feature_a, feature_b, ROUND(abs(r), 6) AS correlation, 'Pearson' AS metric,
-            CASE WHEN (feature_a LIKE '%5%' AND feature_b LIKE '%20%') OR (feature_a LIKE '%20%' AND feature_b LIKE '%5%')
-              OR (feature_a LIKE '%1%' AND feature_b LIKE '%5%') THEN 'Keep' ELSE 'Review' END AS decision FROM c WHERE abs(r) >= 0.6"""))
+            CASE WHEN regexp_extract(feature_a, '[0-9]+$') <> regexp_extract(feature_b, '[0-9]+$') AND regexp_extract(feature_a, '[0-9]+$') <> ''
+              AND regexp_extract(feature_b, '[0-9]+$') <> '' THEN 'Keep' ELSE 'Review' END AS decision FROM c WHERE abs(r) >= 0.6"""))
 _FLAG_PAIRS = [(a, b) for i, a in enumerate(FLAGS) for b in FLAGS[i + 1:]]
 register("v7_phi", lambda spark, sf: round_all(v.phi_pairs(store(spark, sf), FLAGS), 9, "phi"), features_sql(*FLAGS, tail=" UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, ROUND(COALESCE(corr({a}, {b}), 0.0), 9) AS phi FROM feat" for a, b in _FLAG_PAIRS)))
