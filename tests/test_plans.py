@@ -32,6 +32,12 @@ def test_key_range_prunes_month_folders(warehouse):
     assert re.search(r"PartitionFilters: \[.*tx_month#\d+ >= 199901", text)
 
 
+def test_documented_queries_skip_months_and_rows(warehouse):
+    text = plan(analytics.top_outbound(warehouse, "2001-06-01 00:00:00"))
+    assert re.search(r"PartitionFilters: \[.*tx_month#\d+ >= 200105", text)
+    assert "GreaterThanOrEqual(time_key,200105310000)" in text
+
+
 def test_small_dimensions_are_broadcast(warehouse):
     assert "BroadcastHashJoin" in plan(analytics.probe_join(warehouse))
 
