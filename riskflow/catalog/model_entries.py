@@ -508,8 +508,7 @@ def all_edges(spark, sf):
 
 
 EDGES = "ed AS (SELECT DISTINCT from_account AS src, to_account AS dst FROM tx WHERE from_account <> to_account)"
-#: Over all transfers the given tables hold about a million cycles of five accounts; up to four are listed, five over flagged ones.
-NODES = 4
+NODES = g.MAX_CYCLE
 
 
 def cycles_sql(edges, nodes):
