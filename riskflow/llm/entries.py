@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, html_text, lines, mixing, neighbours, quality, secrets, sharding, simhash, winnowing
+from riskflow.llm import bpe, class_model, html_text, lines, mixing, neighbours, quality, ranked, secrets, sharding, simhash, vector_codes, winnowing
 from riskflow.llm.tables import table
 from riskflow.session import staging_path
 
@@ -73,6 +73,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.score(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_with_errors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_shard_documents": op2_shard_documents,
@@ -84,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_winnowing": op9_winnowing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_class_model": op11_class_model,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_vector_codes": op13_vector_codes,
 }
 #: The other operators rest on hashes, patterns, parsers or fits that SQL does not have.
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.TAKEN_SQL, "op6_line_dedup": lines.REMOVED_SQL}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.TAKEN_SQL, "op6_line_dedup": lines.REMOVED_SQL, "op12_ranked_search": ranked.SEARCH_SQL, "op13_vector_codes": vector_codes.CODES_SQL}
