@@ -216,7 +216,8 @@ def move_gains(counts: np.ndarray, own: np.ndarray, after: np.ndarray, before: n
     d = left[:, diagonal, diagonal]
     both = d + after + before + itself[:, None]
     gain += _xlogx(both) - _xlogx(d + after) - _xlogx(d + before) + _xlogx(d)
-    for total, extra in ((left.sum(2), after.sum(1) + itself), (left.sum(1), before.sum(1) + itself)):
+    # sizes of the classes without the word, as history and as follower
+    for total, extra in ((left.sum(2) + before, after.sum(1) + itself), (left.sum(1) + after, before.sum(1) + itself)):
         gain -= _xlogx(total + extra[:, None]) - _xlogx(total)
     return gain
 

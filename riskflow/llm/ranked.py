@@ -14,7 +14,7 @@ when the lists left cannot reach it together. Bounds are exact integers, so no r
 The index holds the lists of terms that are asked for. Queries are taken in blocks of bounded vocabulary, so what a task
 holds depends neither on the number of queries nor on the documents; each block of queries is one pass.
 
-Clusters: documents are projected to ``DIMENSIONS`` numbers (signs by hash, weighted impacts); every ``BLOCK``-th document of a list,
+Clusters: documents are projected to ``DIMENSIONS`` numbers (seeded signs, weighted impacts); every ``BLOCK``-th document of a list,
 in the order of its first number, is a centre, and each document joins the nearest centre. A poor cluster costs time only.
 
 Rules for odd input: null texts have no terms and are no result; a text without terms counts for nothing; equal scores go by id,
@@ -38,7 +38,7 @@ from riskflow.session import materialize
 #: Letters and digits of ASCII and everything beyond it make terms; A-Z become small.
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 BEST, SCALE, SATURATION, FLAT, SLOPE = 10, 1_000_000_000, 8, 10, 90
-MOST_TERMS, MOST_CELLS, BLOCK, DIMENSIONS = 8_192, 8_000_000, 32, 16
+MOST_TERMS, MOST_CELLS, BLOCK, DIMENSIONS = 8_192, 8_000_000, 32, 32
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -93,7 +93,7 @@ class Segment:
         self.impacts = impacts
         self.blocks: dict[int, list[np.ndarray]] = {}
         self.summaries: dict[int, np.ndarray] = {}
-        signs = ((np.arange(impacts.shape[1])[:, None] * 2_654_435_761 >> np.arange(DIMENSIONS) + 8) & 1) * 2.0 - 1
+        signs = np.random.default_rng(12).integers(0, 2, (impacts.shape[1], DIMENSIONS)) * 2.0 - 1
         points = (impacts * (weights / 1e6)) @ signs
         points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
         self._points, self._block = points, block
@@ -131,9 +131,9 @@ class Segment:
                 if bounds[b] < floor:
                     break
                 new = blocks[b][~visited[blocks[b]]]
-                if seen is not None:
-                    seen[0] += 1
                 if len(new):
+                    if seen is not None:
+                        seen[0] += 1
                     visited[new] = True
                     rows, scores = np.append(rows, new), np.append(scores, self.impacts[np.ix_(new, terms)].astype(np.int64) @ weights)
                     if len(scores) >= k:

@@ -203,7 +203,8 @@ def codes_with_errors(vectors: DataFrame, id_column: str = "vec_id", vector_colu
     digest = hashlib.sha256(books_text(history[-1]).encode()).hexdigest()
     keyed = coded.select("id", F.col("label").isNull().alias("no_label"), F.coalesce(F.col("label").cast("string"), F.lit("")).alias("label"), "codes", "error")
     # labels may be as many as rows: a written table, which Spark broadcasts only if it is small; a hot label stands once in it
-    totals = sized(keyed.groupBy("no_label", "label").agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("label_error")))
+    totals = sized(keyed.groupBy("no_label", "label").agg(
+        F.when(F.count("error") == F.count(F.lit(1)), F.sum(F.col("error").cast("decimal(38,0)"))).alias("label_error")))
     code = F.lower(F.hex("codes"))
     fits = F.when(F.col("label_error") <= F.lit(_LONG), F.col("label_error")).cast("long")
     return keyed.join(totals, ["no_label", "label"]).select(
