@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,19 +133,27 @@ def _with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndar
     return out, ends
 
 
-def _learning(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, places and sizes of a chunk's learning texts."""
-    sizes = np.array(row["sizes"], np.int64)
-    codes, places = np.frombuffer(row["codes"], np.uint16).astype(np.int64), np.frombuffer(row["places"], np.int32)
-    mine = np.array(row["trained"], bool)
-    of_text = np.repeat(mine, sizes)
-    return codes[of_text], places[of_text[codes == _RARE]], sizes[mine]
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One chunk at a time, columns as arrays; ``words`` stays an Arrow array."""
+    kinds = {"codes": np.uint16, "places": np.int32, "classes": np.uint8, "counts": np.int64}
     for batch in batches:
         for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
+            row = {}
+            for name, column in zip(batch.schema.names, batch.columns):
+                if name in kinds:
+                    row[name] = np.frombuffer(column[k].as_buffer(), kinds[name])
+                elif name == "words" or name == "ids":
+                    row[name] = column[k].values
+                else:
+                    row[name] = column[k].values.to_numpy(zero_copy_only=False)
+            yield row
+
+
+def _learning(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, places and sizes of a chunk's learning texts."""
+    sizes, mine, codes = row["sizes"].astype(np.int64), row["trained"].astype(bool), row["codes"].astype(np.int64)
+    of_text = np.repeat(mine, sizes)
+    return codes[of_text], row["places"][of_text[codes == _RARE]], sizes[mine]
 
 
 # ---- exchange of the core words -------------------------------------------------------------------------------------
@@ -174,7 +183,7 @@ def core_neighbours(chunks: DataFrame, core: int) -> DataFrame:
         if waiting:
             yield flush()
 
-    pairs = chunks.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = chunks.select("trained", "sizes", "codes", "places").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     both = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("w"), F.col("b").alias("other"), "n", F.lit(0).alias("side")),
         F.struct(F.col("b").alias("w"), F.col("a").alias("other"), "n", F.lit(1).alias("side")))).alias("p")).select("p.*")
@@ -294,72 +303,92 @@ def other_classes(chunks: DataFrame, dictionary: list[bytes], classes: np.ndarra
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, of_core, _, _ = shared.value
-        seen: dict[bytes, bytearray] = {}
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            packed = [bytes(b) if len(b) <= 128 else _histogram(b).tobytes() for b in seen.values()]
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(packed, pa.binary())], names=["word", "near"])
-            seen.clear()
-            return out
-
+        names = pa.array(names, pa.binary())
+        words, at, near, held = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            # equal words of several chunks get one number; numbers of the dictionary follow
+            one = pa.concat_arrays(words).dictionary_encode() if words else pa.array([], pa.binary()).dictionary_encode()
+            same, fresh = one.indices.to_numpy(), len(one.dictionary)
+            number = np.concatenate(at)
+            own = number >= 0
+            number[own] = same[number[own]]
+            number[~own] = fresh - 1 - number[~own]
+            order = np.argsort(number, kind="stable")
+            pairs, number = np.concatenate(near)[order], number[order]
+            starts = np.flatnonzero(np.diff(number, prepend=-1))
+            lengths = np.diff(np.append(starts, len(number)))
+            every = pa.concat_arrays([one.dictionary, names])
+            few = lengths <= 64
+            offsets = np.concatenate(([0], np.cumsum(2 * lengths[few]))).astype(np.int32)
+            data = pairs[np.repeat(few, lengths)].tobytes()
+            packed = pa.BinaryArray.from_buffers(pa.binary(), int(few.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([every.take(pa.array(number[starts[few]])), packed], names=["word", "near"])
+            for k in np.flatnonzero(~few):
+                table = _histogram(pairs[starts[k] : starts[k] + lengths[k]])
+                yield pa.RecordBatch.from_arrays([every.take(pa.array(number[starts[k : k + 1]])), pa.array([table.tobytes()], pa.binary())], names=["word", "near"])
+            words.clear(), at.clear(), near.clear()
+
+        before = 0
         for row in _rows(batches):
             codes, places, sizes = _learning(row)
-            if not len(codes):
+            others = codes >= core
+            if not others.any():
                 continue
             line, ends = _with_ends(of_core[np.minimum(codes, core)], sizes, END)
-            around = np.stack([np.concatenate(([END], line[:-2])), line[1:]], 1) if len(line) > 1 else None
-            others = codes >= core
             texts = np.ones(len(line), bool)
             texts[ends] = False
-            pairs = around[np.flatnonzero(texts[:-1] if texts[-1] else texts[:-1])][others].tobytes()
-            rare = iter(places.tolist())
-            for k, code in enumerate(codes[others].tolist()):
-                word = row["words"][next(rare)] if code == _RARE else names[code]
-                seen.setdefault(word, bytearray()).extend(pairs[2 * k : 2 * k + 2])
-            held += len(pairs)
-            if len(seen) > FLUSH or held > 64_000_000:
-                yield flush()
-                held = 0
-        if seen:
-            yield flush()
+            around = np.stack([np.concatenate(([END], line[:-1])), np.append(line[1:], END)], 1).astype(np.uint8)
+            number = -1 - codes
+            number[codes == _RARE] = places + before
+            words.append(row["words"]), at.append(number[others]), near.append(around[texts][others])
+            before += len(row["words"])
+            held += int(others.sum())
+            if held > 10 * FLUSH:
+                yield from flush()
+                before, held = 0, 0
+        if held:
+            yield from flush()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, follow, precede = shared.value
-        last, total, done = None, None, []
+        last, total = None, np.zeros(2 * CLASSES)
 
-        def flush() -> pa.RecordBatch:
-            sums = np.stack([t for _, t in done])
+        def chosen(words: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
             before, after = sums[:, :CLASSES], sums[:, CLASSES:]
             best = (after @ follow.T + before @ precede)[:, :END].argmax(1)
-            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in done], pa.binary()), pa.array(before.sum(1).astype(np.int64)), pa.array(best, pa.int32())], names=["word", "c", "class"])
-            done.clear()
-            return out
-
-        for batch in batches:
-            for word, near in zip(batch.column(0), batch.column(1)):
-                word, near = word.as_py(), near.as_py()
-                more = _histogram(near) if len(near) <= 128 else np.frombuffer(near, np.int64)
-                if word == last:
-                    total = total + more
-                    continue
-                if last is not None:
-                    done.append((last, total))
-                last, total = word, more
-                if len(done) >= 2000:
-                    yield flush()
+            return pa.RecordBatch.from_arrays([words, pa.array(before.sum(1).astype(np.int64)), pa.array(best, pa.int32())], names=["word", "c", "class"])
+
+        for whole in batches:
+            for batch in (whole.slice(k, 4_000) for k in range(0, whole.num_rows, 4_000)):
+                words, near = batch.column(0), batch.column(1)
+                new = np.ones(len(words), bool)
+                new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+                of = np.cumsum(new) - 1
+                lengths = np.array(pc.binary_length(near))
+                short = lengths <= 128
+                flat = np.frombuffer(b"".join(near.filter(pa.array(short)).to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
+                row = np.repeat(of[short], lengths[short] // 2)[:, None]
+                sums = np.bincount((row * 2 * CLASSES + flat + [0, CLASSES]).ravel(), minlength=(of[-1] + 1) * 2 * CLASSES).reshape(-1, 2 * CLASSES).astype(float)
+                for k in np.flatnonzero(~short):
+                    sums[of[k]] += np.frombuffer(near[int(k)].as_buffer(), np.int64)
+                words = words.filter(pa.array(new))
+                if last is not None and words[0].as_py() == last:
+                    sums[0] += total
+                elif last is not None:
+                    yield chosen(pa.array([last], pa.binary()), total[None])
+                yield chosen(words[:-1], sums[:-1])
+                last, total = words[len(words) - 1].as_py(), sums[-1]
         if last is not None:
-            done.append((last, total))
-            yield flush()
+            yield chosen(pa.array([last], pa.binary()), total[None])
 
-    gathered = chunks.mapInArrow(gather, "word binary, near binary").repartition("word").sortWithinPartitions("word")
+    gathered = chunks.select("trained", "sizes", "codes", "places", "words").mapInArrow(gather, "word binary, near binary").repartition("word").sortWithinPartitions("word")
     return gathered.mapInArrow(decide, "word binary, c long, class int")
 
 
-def _histogram(pairs: bytes) -> np.ndarray:
+def _histogram(pairs: np.ndarray) -> np.ndarray:
     """Counts of classes before, then after."""
-    two = np.frombuffer(pairs, np.uint8).reshape(-1, 2).astype(np.int64)
-    return np.bincount((two + [0, CLASSES]).ravel(), minlength=2 * CLASSES)
+    return np.bincount((pairs.astype(np.int64) + [0, CLASSES]).ravel(), minlength=2 * CLASSES)
 
 
 # ---- the model ------------------------------------------------------------------------------------------------------
@@ -373,6 +402,8 @@ class ClassModel:
     totals: np.ndarray  # occurrences of each class
     transitions: np.ndarray  # (CLASSES + 1, CLASSES); the last row is the history of an unknown word
     unknown: np.ndarray  # (CLASSES + 1): probability of an unknown word after each history
+    of_class: np.ndarray  # of the words of the dictionary
+    of_count: np.ndarray
 
     def emission(self, classes: np.ndarray, c: np.ndarray) -> np.ndarray:
         """P(word | class) of known words."""
@@ -382,42 +413,48 @@ class ClassModel:
         return (c + 0.5) / (self.tokens + 0.5 * (self.words + 1))
 
 
-def fit_transitions(counts: np.ndarray, tokens: int, words: int, discount: float, sizes: np.ndarray, totals: np.ndarray) -> ClassModel:
+def fit_transitions(counts: np.ndarray, tokens: int, words: int, discount: float, sizes: np.ndarray, totals: np.ndarray, *dictionary: np.ndarray) -> ClassModel:
     """``counts``: (CLASSES + 1, CLASSES) class bigrams, the last row after words seen once."""
     prior = totals / max(1, totals.sum())
     moves = (counts + PRIOR_WEIGHT * prior) / (counts.sum(1, keepdims=True) + PRIOR_WEIGHT)
     fresh = np.where(np.arange(CLASSES) == END, 0.0, discount * sizes / np.maximum(totals, 1))
-    return ClassModel(tokens, words, discount, sizes, totals, moves, moves @ fresh)
+    return ClassModel(tokens, words, discount, sizes, totals, moves, moves @ fresh, *dictionary)
 
 
-RESOLVED = "ids array<long>, trained array<boolean>, sizes array<int>, classes binary, counts binary"
-_RESOLVED = pa.schema([("ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("classes", pa.binary()), ("counts", pa.binary())])
+RESOLVED = "ids array<long>, trained array<boolean>, sizes array<int>, codes binary, places binary, classes binary, counts binary"
 
 
-def resolve(chunks: DataFrame, known: DataFrame, of_class: np.ndarray, of_count: np.ndarray) -> DataFrame:
-    """Chunks with a class byte and a count per word. ``known``: word, c, class of words outside the dictionary."""
+def resolve(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """Chunks with class and count of each word of their own lists. ``known``: word, c, class of words outside the dictionary."""
     wanted = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
     found = wanted.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "class", "c")).alias("found"))
-    shared = chunks.sparkSession.sparkContext.broadcast((of_class, of_count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_class, of_count = shared.value
-        for row in _rows(batches):
-            codes, places = np.frombuffer(row["codes"], np.uint16), np.frombuffer(row["places"], np.int32)
-            classes, counts = np.full(row["n_words"], UNKNOWN, np.uint8), np.zeros(row["n_words"], np.int64)
-            found = row["found"] or []
-            at = np.array([f["place"] for f in found], np.int64)
-            classes[at], counts[at] = [f["class"] for f in found], [f["c"] for f in found]
-            rare = codes == _RARE
-            line, c = np.empty(len(codes), np.uint8), np.empty(len(codes), np.int64)
-            line[~rare], c[~rare] = of_class[codes[~rare]], of_count[codes[~rare]]
-            line[rare], c[rare] = classes[places], counts[places]
-            line[c == 1] += SINGLE
-            values = [row["ids"], row["trained"], row["sizes"], line.tobytes(), c.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _RESOLVED)], schema=_RESOLVED)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n = batch.column(5)[k].as_py()
+                classes, counts = np.full(n, UNKNOWN, np.uint8), np.zeros(n, np.int64)
+                at, of, c = (batch.column(i)[k].values for i in (6, 7, 8))
+                if at is not None:
+                    at = at.to_numpy()
+                    classes[at], counts[at] = of.to_numpy(), c.to_numpy()
+                classes[counts == 1] += SINGLE
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(i).slice(k, 1) for i in range(5)), pa.array([classes.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())],
+                    names=["ids", "trained", "sizes", "codes", "places", "classes", "counts"])
 
     whole = chunks.select("chunk", "ids", "trained", "sizes", "codes", "places", F.size("words").alias("n_words")).join(found, "chunk", "left")
-    return whole.mapInArrow(run, RESOLVED)
+    return whole.select("ids", "trained", "sizes", "codes", "places", "n_words", "found.place", "found.class", "found.c").mapInArrow(run, RESOLVED)
+
+
+def _expanded(row: dict, of_class: np.ndarray, of_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class byte and count of every word of a chunk. ``of_class``, ``of_count``: those of the dictionary."""
+    codes = row["codes"]
+    rare = codes == _RARE
+    line, c = np.empty(len(codes), np.uint8), np.empty(len(codes), np.int64)
+    line[~rare], c[~rare] = of_class[codes[~rare]], of_count[codes[~rare]]
+    line[rare], c[rare] = row["classes"][row["places"]], row["counts"][row["places"]]
+    return line, c
 
 
 def _histories(line: np.ndarray) -> np.ndarray:
@@ -426,22 +463,23 @@ def _histories(line: np.ndarray) -> np.ndarray:
     return np.concatenate(([END], state[:-1]))
 
 
-def count_transitions(resolved: DataFrame) -> np.ndarray:
+def count_transitions(resolved: DataFrame, of_class: np.ndarray, of_count: np.ndarray) -> np.ndarray:
+    shared = resolved.sparkSession.sparkContext.broadcast((of_class, of_count))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((CLASSES + 1, CLASSES), np.int64)
         for row in _rows(batches):
-            sizes, mine = np.array(row["sizes"], np.int64), np.array(row["trained"], bool)
-            line, ends = _with_ends(np.frombuffer(row["classes"], np.uint8)[np.repeat(mine, sizes)], sizes[mine], END)
+            sizes, mine = row["sizes"].astype(np.int64), row["trained"].astype(bool)
+            line, _ = _with_ends(_expanded(row, *shared.value)[0][np.repeat(mine, sizes)], sizes[mine], END)
             if len(line):
-                single = line >= SINGLE
                 now, before = line % SINGLE, _histories(line)
-                sums += np.bincount(before * CLASSES + now, minlength=sums.size).reshape(sums.shape)
-                after_single = np.flatnonzero(single) + 1
+                sums += np.bincount(before.astype(np.int64) * CLASSES + now, minlength=sums.size).reshape(sums.shape)
+                after_single = np.flatnonzero(line >= SINGLE) + 1
                 sums[CLASSES] += np.bincount(now[after_single], minlength=CLASSES)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], names=["at", "n"])
 
-    return _square(resolved.select("sizes", "trained", "classes").mapInArrow(run, "at long, n long"), CLASSES + 1)
+    return _square(resolved.drop("ids").mapInArrow(run, "at long, n long"), CLASSES + 1)
 
 
 SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -454,9 +492,9 @@ def score_texts(resolved: DataFrame, model: ClassModel, n_ends: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for row in _rows(batches):
-            sizes = np.array(row["sizes"], np.int64)
-            line, ends = _with_ends(np.frombuffer(row["classes"], np.uint8), sizes, END)
-            c, _ = _with_ends(np.frombuffer(row["counts"], np.int64), sizes, n_ends)
+            sizes = row["sizes"].astype(np.int64)
+            line, c = _expanded(row, model.of_class, model.of_count)
+            (line, ends), (c, _) = _with_ends(line, sizes, END), _with_ends(c, sizes, n_ends)
             base = model.base(c)
             if model.tokens:
                 before, new = _histories(line), line == UNKNOWN
@@ -468,7 +506,7 @@ def score_texts(resolved: DataFrame, model: ClassModel, n_ends: int) -> DataFram
             starts = np.append(0, ends[:-1] + 1)
             sums = [np.add.reduceat(v, starts) for v in ((c > 0).astype(np.int64), np.log10(base), np.log10(p))]
             yield pa.RecordBatch.from_arrays([
-                pa.array(row["ids"], pa.int64()), pa.array([not t for t in row["trained"]], pa.bool_()), pa.array(sizes + 1), pa.array(sums[0]),
+                row["ids"], pa.array(~row["trained"].astype(bool)), pa.array(sizes + 1), pa.array(sums[0]),
                 pa.array(np.full(len(sizes), model.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=names)
 
     return resolved.mapInArrow(run, SCORED)
@@ -482,7 +520,7 @@ def fit(docs: DataFrame, dictionary_size: int = DICTIONARY, core_size: int = COR
     totals = counted.agg(F.count(F.lit(1)), F.sum("c"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     tokens, words = (totals[1] or 0) + n_ends, totals[0] + (n_ends > 0)
     discount = min(0.95, max(0.05, totals[2] / max(1, totals[2] + 2 * totals[3])))
-    top = [(bytes(w), c) for w, c in counted.orderBy(F.desc("c"), "word").limit(dictionary_size).collect()]
+    top = most_frequent(counted, dictionary_size)
     dictionary, core = [w for w, _ in top], min(core_size, len(top))
 
     chunks = materialize(encode_chunks(docs, dictionary))
@@ -495,10 +533,27 @@ def fit(docs: DataFrame, dictionary_size: int = DICTIONARY, core_size: int = COR
     frequent = others.sparkSession.createDataFrame([(w,) for w in dictionary[core:]], "word binary")
     for word, at in others.join(F.broadcast(frequent), "word").select("word", "class").collect():
         of_class[number[bytes(word)]] = at
-    resolved = materialize(resolve(chunks, others, of_class, of_count))
+    resolved = materialize(resolve(chunks, others))
     sizes, sums = _class_sizes(others, of_class[:core], of_count[:core])
     sizes[END], sums[END] = 1, n_ends
-    return resolved, fit_transitions(count_transitions(resolved), tokens, words, discount, sizes, sums), n_ends
+    of_class[(of_count == 1) & (len(top) > 0)] += SINGLE
+    moves = count_transitions(resolved, of_class, of_count)
+    return resolved, fit_transitions(moves, tokens, words, discount, sizes, sums, of_class, of_count), n_ends
+
+
+def most_frequent(counted: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words, by falling counts: all words above a count that sixteenths of octaves tell, so that no
+    whole sort is needed and only these words reach the driver."""
+    level = F.floor(16 * F.log2("c"))
+    total, least = 0, None
+    for at, n in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 1,024 levels at most
+        total += n
+        if total > most:
+            break
+        least = at
+    if least is None:
+        return []
+    return sorted(((bytes(w), c) for w, c in counted.where(level >= least).select("word", "c").collect()), key=lambda r: (-r[1], r[0]))
 
 
 def _class_sizes(others: DataFrame, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -78,13 +78,15 @@ def plain_scores(rows, n_ends):
     return out
 
 
-def texts_of(resolved):
+def texts_of(resolved, model):
     """(id, (trained, classes, counts)) of each text; the class of an unknown word is not used."""
     for row in resolved.collect():
-        classes, counts = np.frombuffer(row["classes"], np.uint8), np.frombuffer(row["counts"], np.int64)
+        codes, places = np.frombuffer(row["codes"], np.uint16), iter(np.frombuffer(row["places"], np.int32).tolist())
+        own = list(zip(np.frombuffer(row["classes"], np.uint8).tolist(), np.frombuffer(row["counts"], np.int64).tolist()))
+        line = [own[next(places)] if c == 65_535 else (int(model.of_class[c]), int(model.of_count[c])) for c in codes]
         ends = np.cumsum(row["sizes"])
         for i, trained, a, b in zip(row["ids"], row["trained"], ends - row["sizes"], ends):
-            yield i, (trained, [None if c == m.UNKNOWN else int(c) % m.SINGLE for c in classes[a:b]], [int(n) for n in counts[a:b]])
+            yield i, (trained, [None if c == m.UNKNOWN else c % m.SINGLE for c, _ in line[a:b]], [n for _, n in line[a:b]])
 
 
 @pytest.mark.parametrize("dictionary, core", [(60, 25), (10_000, 8_000)])
@@ -93,7 +95,7 @@ def test_model(spark, given, dictionary, core):
     docs = spark.createDataFrame(given, "doc_id long, text string, source string")
     rows = docs.select(F.col("doc_id").alias("id"), m.held_out(F.col("doc_id")).alias("held"), "text")
     resolved, model, n_ends = m.fit(rows, dictionary, core)
-    coded = sorted(texts_of(resolved), key=lambda r: r[0])
+    coded = sorted(texts_of(resolved, model), key=lambda r: r[0])
     classes = {}
     for (i, text, _), (j, (_, of, counts)) in zip(sorted(given), coded, strict=True):
         assert i == j and len(tokens(text)) == len(of)
