@@ -66,6 +66,35 @@ def find_cycles(edges: DataFrame, max_nodes: int = MAX_CYCLE) -> DataFrame:
         F.size("cycle").alias("length"), "cycle", F.concat_ws(">", "cycle").alias("cycle_path"), F.concat_ws(",", F.array_sort("cycle")).alias("node_set"))
 
 
+def cycle_members(edges: DataFrame, max_nodes: int = MAX_CYCLE) -> DataFrame:
+    """(id): accounts on a directed simple cycle of 2 to ``max_nodes`` accounts; no cycle is listed.
+
+    The shortest closed walk through an account is a simple cycle, so distinct (start, middle) pairs are enough: an account is
+    a member if some middle can be reached from it and reaches it in ``max_nodes`` steps together. Lengths are tried in
+    order, and accounts found leave the set of starts, so the wider half-walks grow for the rest only.
+    """
+    core = prune_to_core(distinct_edges(edges))
+    names = core.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    numbered = sized(names.select("name", F.monotonically_increasing_id().alias("n")))
+    ends = {side: numbered.select(F.col("name").alias(side), F.col("n").alias(at)) for side, at in (("src", "a"), ("dst", "b"))}
+    step = materialize(core.join(ends["src"], "src").join(ends["dst"], "dst").select("a", "b"))
+    left = step.select(F.col("a").alias("start")).distinct()
+    ahead = {1: step.select(F.col("a").alias("start"), F.col("b").alias("mid"))}
+    behind = {1: step.select(F.col("b").alias("start"), F.col("a").alias("mid"))}
+    found = None
+    for nodes in range(2, max_nodes + 1):
+        far, near = (nodes + 1) // 2, nodes // 2
+        for walks, size, here, there in ((ahead, far, "a", "b"), (behind, near, "b", "a")):
+            if size not in walks:
+                # walks of accounts that are already found are not made longer
+                open_walks = walks[size - 1].join(left, "start", "left_semi")
+                walks[size] = materialize(open_walks.join(step, F.col("mid") == F.col(here)).select("start", F.col(there).alias("mid")).distinct())
+        met = materialize(ahead[far].join(left, "start", "left_semi").join(behind[near], ["start", "mid"], "left_semi").select("start").distinct())
+        found = met if found is None else found.unionByName(met)
+        left = materialize(left.join(met, "start", "left_anti"))
+    return found.join(numbered, F.col("start") == F.col("n")).select(F.col("name").alias("id"))
+
+
 def node_set_cycles(cycles: DataFrame) -> DataFrame:
     """One row per set of nodes, the grouping that merges cycles running over the same accounts."""
     return cycles.groupBy("node_set", "length").agg(count_rows().alias("directed_cycles"))
@@ -105,11 +134,11 @@ def neighbourhood_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def ring_risk(tx: DataFrame, cycles: DataFrame, high_amount: float = 10_000) -> DataFrame:
-    """CRITICAL when either side is on a cycle, else HIGH above the amount, else MEDIUM."""
-    members = sized(cycles.select(F.explode("cycle").alias("member")).distinct())
-    sender = members.select(F.col("member").alias("from_account"), F.lit(True).alias("_s"))
-    receiver = members.select(F.col("member").alias("to_account"), F.lit(True).alias("_r"))
+def ring_risk(tx: DataFrame, members: DataFrame, high_amount: float = 10_000) -> DataFrame:
+    """CRITICAL when either side is among ``members`` (id), the accounts on a cycle, else HIGH above the amount, else MEDIUM."""
+    members = sized(members)
+    sender = members.select(F.col("id").alias("from_account"), F.lit(True).alias("_s"))
+    receiver = members.select(F.col("id").alias("to_account"), F.lit(True).alias("_r"))
     ring = F.coalesce("_s", F.lit(False)) | F.coalesce("_r", F.lit(False))
     return tx.join(sender, "from_account", "left").join(receiver, "to_account", "left").withColumn("has_circular_risk", ring).select(
         *tx.columns, "has_circular_risk",

@@ -23,6 +23,35 @@ def plain_cycles(edges, most=5):
     return sorted(found)
 
 
+def test_given_cycles(spark, sf):
+    """Every listed cycle of the smallest tables, and the members found without listing."""
+    from riskflow.catalog.model_entries import all_edges
+
+    pairs = {(r["src"], r["dst"]) for r in graph.distinct_edges(all_edges(spark, sf)).collect()}
+    want = plain_cycles(pairs)
+    assert sorted(r["cycle_path"] for r in QUERIES["g2_cycles"](spark, sf).collect()) == want
+    sets = {}
+    for path in want:
+        names = sorted(path.split(">"))
+        sets[",".join(names), len(names)] = sets.get((",".join(names), len(names)), 0) + 1
+    assert {(r["node_set"], r["length"]): r["directed_cycles"] for r in QUERIES["g2_node_set_cycles"](spark, sf).collect()} == sets
+    members = [r["id"] for r in graph.cycle_members(all_edges(spark, sf)).collect()]
+    assert sorted(members) == sorted({name for path in want for name in path.split(">")})
+
+
+def test_members_are_those_of_listed_cycles(spark):
+    """Random sparse graphs, where many accounts are on no cycle or on a long one only."""
+    from random import Random
+
+    for seed in range(3):
+        rng = Random(seed)
+        pairs = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(80)} | {(f"r{k}", f"r{(k + 1) % (4 + seed)}") for k in range(4 + seed)}
+        edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, amount double")
+        for most in (2, 5):
+            want = {name for path in plain_cycles(pairs, most) for name in path.split(">")}
+            assert sorted(r["id"] for r in graph.cycle_members(edges, most).collect()) == sorted(want)
+
+
 def ring(n):
     names = [f"N{k}" for k in range(n)]
     return [(f"r{k}", "2024-01-01 00:00:00", names[k], names[(k + 1) % n], 10, 0) for k in range(n)]

@@ -73,7 +73,7 @@ def test_three_cycle_is_critical(make_tx):
                   ("5", "2026-01-01 00:04:00", "X", "Z", 1, 0)])
     cycles = graph.find_cycles(graph.build_edges(tx))
     assert [r["cycle_path"] for r in cycles.collect()] == ["A>B>C"]
-    assert by_id(graph.ring_risk(tx, cycles), "cluster_risk_level") == {
+    assert by_id(graph.ring_risk(tx, graph.cycle_members(graph.build_edges(tx))), "cluster_risk_level") == {
         "1": ("CRITICAL",), "2": ("CRITICAL",), "3": ("CRITICAL",), "4": ("HIGH",), "5": ("MEDIUM",)}
 
 

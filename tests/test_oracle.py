@@ -15,7 +15,7 @@ q41_percent_rank q42_running_volume_hot_keys q45_rolling_fraud vw_fraud_overview
 f11_global_zscore f13_label_rates f20_class_sample f22_model_vector f26_health t1_velocity_hot_keys t3_documented_velocity
 t4_point_in_time t7_online_velocity t9_apply_priors t12_account_states_stream t16_session_stream v6_high_pairs v9_quality_score v11_parity
 m1_temporal_split m9_ranking m14_best_thresholds m15_optimal_threshold x3_decide x6_risk_drivers x12_error_profile x16_psi
-g2_cycles g3_k_hop g4_ring_risk g6_degrees
+g2_flagged_cycles g3_k_hop g4_ring_risk g6_degrees
 """.split()
 NAMES = sorted(ORACLES) if os.environ.get("RISKFLOW_ORACLE") == "all" else CHOSEN
 
