@@ -65,15 +65,19 @@ register("t13_idempotent_stream", t13_stream, f"""
     FROM events GROUP BY 1 UNION ALL SELECT DISTINCT event_type, 0, 0.0 FROM events""")
 
 
-def t14(spark, sf):
-    path = staging_path(spark, "velocity")
-    feed(spark, events(spark, sf), lambda stream, at: jobs.velocity_stream(stream, path, at), repeat=(1,))
-    return jobs.stored_velocity(spark, path)
+def t14(order):
+    def run(spark, sf):
+        path = staging_path(spark, "velocity")
+        feed(spark, events(spark, sf), lambda stream, at: jobs.velocity_stream(stream, path, at), order, repeat=(1,))
+        return jobs.stored_velocity(spark, path)
+    return run
 
 
-register("t14_velocity_stream", t14, T1.replace(" FROM e WINDOW ", """, COUNT(DISTINCT user_id) OVER r24h AS receiver_in_degree_24h,
+VELOCITY = T1.replace(" FROM e WINDOW ", """, COUNT(DISTINCT user_id) OVER r24h AS receiver_in_degree_24h,
     COALESCE(CAST(epoch_us(ts) - epoch_us(MAX(ts) OVER r24h) AS DOUBLE) / 1000000.0, 86400.0) AS receiver_seconds_since_last
-    FROM e WINDOW r24h AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), """))
+    FROM e WINDOW r24h AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), """)
+register("t14_velocity_stream", t14((0, 2, 1)), VELOCITY)
+register("t14_velocity_stream_backwards", t14((2, 1, 0)), VELOCITY)
 
 
 def measured(spark, sf):
@@ -83,7 +87,7 @@ def measured(spark, sf):
 def t16(slide):
     def run(spark, sf):
         path = staging_path(spark, "windows")
-        feed(spark, measured(spark, sf), lambda stream, at: jobs.activity_stream(stream, path, at, "user_id", "1 day", slide), (2, 0, 1))
+        feed(spark, measured(spark, sf), lambda stream, at: jobs.activity_stream(stream, path, at, "user_id", "1 day", slide, "event_id"), (2, 0, 1), repeat=(0,))
         return jobs.current_windows(spark, path, "user_id")
     return run
 
@@ -104,7 +108,7 @@ register("t16_session_bursts", lambda spark, sf: jobs.session_bursts(measured(sp
 
 def t16_sessions(spark, sf):
     path = staging_path(spark, "sessions")
-    feed(spark, measured(spark, sf), lambda stream, at: jobs.session_stream(stream, path, at), (1, 0, 2))
+    feed(spark, measured(spark, sf), lambda stream, at: jobs.session_stream(stream, path, at, "user_id", key="event_id", every=2), (1, 0, 2), repeat=(1,))
     return jobs.current_sessions(spark, path, "user_id")
 
 
@@ -117,14 +121,18 @@ def stream_score(df):
     return df.select("transaction_id", "account_transaction_count", "account_total_paid", points.alias("score"))
 
 
-def t17(spark, sf):
-    history, scores = staging_path(spark, "history"), staging_path(spark, "scores")
-    feed(spark, as_transfers(table(spark, sf, "events")), lambda stream, at: jobs.scoring_stream(stream, history, scores, at, stream_score), repeat=(0,))
-    return spark.read.parquet(scores).drop("run", "batch_id")
+def t17(order):
+    def run(spark, sf):
+        history, scores = staging_path(spark, "history"), staging_path(spark, "scores")
+        feed(spark, as_transfers(table(spark, sf, "events")), lambda stream, at: jobs.scoring_stream(stream, history, scores, at, stream_score), order, repeat=(0,))
+        return jobs.stored_scores(spark, scores)
+    return run
 
 
-register("t17_scoring_stream", t17, f"""
+SCORED = f"""
     WITH e AS (SELECT event_id, {AMOUNT} AS amount, COUNT(*) OVER w AS n, SUM({AMOUNT}) OVER w AS paid FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))
     SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(n AS DOUBLE) AS account_transaction_count, CAST(COALESCE(paid, 0) AS DOUBLE) AS account_total_paid,
-      least(CAST(n AS DOUBLE), 100.0) + CASE WHEN amount > 100 THEN 50.0 ELSE 0.0 END AS score FROM e""")
+      least(CAST(n AS DOUBLE), 100.0) + CASE WHEN amount > 100 THEN 50.0 ELSE 0.0 END AS score FROM e"""
+register("t17_scoring_stream", t17((0, 2, 1)), SCORED)
+register("t17_scoring_stream_backwards", t17((2, 1, 0)), SCORED)
