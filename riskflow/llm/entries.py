@@ -53,8 +53,11 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first scan: the ledger starts empty in the shared folder."""
-    found = secrets.scan_versions(table(spark, sf_dir, "documents"), staging_path(spark, "secret-ledger"))
+    """Two scans with one ledger, which starts empty in the shared folder: the first takes every blob, the second, of the
+    table as it is read then, only blobs it has not seen."""
+    ledger = staging_path(spark, "secret-ledger")
+    secrets.scan_versions(table(spark, sf_dir, "documents"), ledger)
+    found = secrets.scan_versions(table(spark, sf_dir, "documents"), ledger)
     base = ["assign", "access", "hex"]
     return found.select(
         "doc_id", *[secrets.count_kind(kind).alias(f"n_{kind}") for kind in base],

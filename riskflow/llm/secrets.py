@@ -62,13 +62,19 @@ def read_ledger(spark, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
 
 
+def known_blobs(spark, path: str) -> DataFrame:
+    """``blob, spans`` under the current rules; a blob that two writers have added at once stands once."""
+    return read_ledger(spark, path).where(F.col("rules_version") == RULES_VERSION).groupBy("blob").agg(F.first("spans").alias("spans"))
+
+
 def scan_versions(versions: DataFrame, ledger_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id, blob, spans`` for every row; the ledger at ``ledger_path`` takes up what is scanned now."""
     spark = versions.sparkSession
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     paths = materialize(versions.select(F.col(id_column).alias("id"), F.sha2(text, 256).alias("blob")))
-    known = read_ledger(spark, ledger_path).where(F.col("rules_version") == RULES_VERSION).select("blob")
-    # one path of each unseen blob hands in the text: no other text is shuffled or scanned
+    known = known_blobs(spark, ledger_path).select("blob")
+    # one path of each unseen blob hands in the text. Few unseen ones are broadcast and no text moves; where they are many
+    # (a first scan), the join moves the texts once
     chosen = paths.groupBy("blob").agg(F.min("id").alias("id")).join(known, "blob", "left_anti")
     chosen = materialize(chosen.select(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "blob"))
     texts = versions.select(F.col(id_column).isNull().alias("no_id"), F.coalesce(F.col(id_column), F.lit(0)).alias("id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
@@ -76,8 +82,7 @@ def scan_versions(versions: DataFrame, ledger_path: str, id_column: str = "doc_i
     # rows repeated with id and text hand in their blob together
     once = found.groupBy("blob").agg(F.first("spans").alias("spans"))
     once.select("blob", F.lit(RULES_VERSION).alias("rules_version"), "spans").write.mode("append").parquet(ledger_path)
-    ledger = read_ledger(spark, ledger_path).where(F.col("rules_version") == RULES_VERSION)
-    return paths.join(ledger.select("blob", "spans"), "blob").select(F.col("id").alias(id_column), "blob", "spans")
+    return paths.join(known_blobs(spark, ledger_path), "blob").select(F.col("id").alias(id_column), "blob", "spans")
 
 
 def count_kind(kind: str) -> Column:

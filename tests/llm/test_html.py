@@ -26,6 +26,16 @@ LONG = "This is the long text of the article, with many words and few tags in it
     (f"<header><h1>Site</h1></header><ul class=menu><li>a<li>b</ul><p>{LONG}<br>x &lt;b&gt; &amp; y&nbsp;z</p><aside>{LONG}</aside><form><label>Name</label></form><footer>Us</footer>", f"{LONG.strip()} x <b> & y z"),
     (f"<div class=ad>{LONG}<article><p>One<i>two</i> three</p></article>", "Onetwo three"),
     (f"<article><h1>A</h1><p>{LONG}</p><div class=advert>{LONG}</div><p>B</p></article><p>{LONG}</p>", f"A {LONG.strip()} B"),
+    # classes that tell about the page around, or that a page, article or main part carries as a whole
+    (f"<body class='has-sidebar'><div class='post has-comments'><h1>Title</h1><p>{LONG}</p></div></body>", f"Title {LONG.strip()}"),
+    (f"<body class='comments-open header-fixed'><article class='post-header-big'><p>{LONG}</p></article></body>", LONG.strip()),
+    # teasers are articles, the body is none
+    (f"<div><h1>Title</h1><p>{LONG}</p><p>Short.</p></div><section><article><h3>Read next</h3></article><article><h3>Other teaser</h3></article></section>", f"Title {LONG.strip()} Short."),
+    # a headline before the article, navigation in a plain element before it
+    (f"<div><a href=/>Home</a> <a href=/a>About</a></div><h1>Headline</h1><article><p>{LONG}</p><p>End.</p></article>", f"Headline {LONG.strip()} End."),
+    (f"<div><a href=/>Home</a> <a href=/a>About</a></div><p>{LONG}</p><p>End with <a href=/x>a link</a>.</p>", f"{LONG.strip()} End with a link."),
+    # a main part holds body and teasers
+    (f"<main><h1>Title</h1><p>{LONG}</p><article>More</article></main>", f"Title {LONG.strip()}"),
     ("<script>var a='<p>no</p>'</script><style>p{}</style><!-- no --><p>yes</p>", "yes"),
     ("plain text only", "plain text only"),
     ("", ""),

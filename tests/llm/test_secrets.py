@@ -50,6 +50,26 @@ def test_ledger_scans_unseen_blobs_only(spark, docs, tmp_path, monkeypatch):
     assert secrets.read_ledger(spark, ledger).count() == 6
 
 
+def test_query_scans_twice_and_finds_nothing_new(spark, sf, monkeypatch):
+    """The second scan of the query hands no text to the patterns, and its plan moves none."""
+    scanned, real = [], secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda blobs: scanned.append(blobs.count()) or real(blobs))
+    QUERIES["op8_secret_scan"](spark, sf)
+    blobs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("coalesce(text, '') as t").distinct().count()
+    assert scanned == [blobs, 0]
+
+
+def test_two_writers_at_once(spark, docs, tmp_path):
+    """Both have added the same blobs; every path still has one row."""
+    ledger = str(tmp_path / "ledger")
+    rows = docs([(1, TEXTS[0]), (2, TEXTS[1])])
+    secrets.scan_versions(rows, ledger)
+    twice = secrets.read_ledger(spark, ledger).collect()
+    spark.createDataFrame(twice, secrets.LEDGER).write.mode("append").parquet(ledger)
+    found = {r["doc_id"]: ",".join(f"{s['kind']}:{s['start']}:{s['stop']}" for s in r["spans"]) for r in secrets.scan_versions(rows, ledger).collect()}
+    assert secrets.scan_versions(rows, ledger).count() == 2 and found == {1: plain(TEXTS[0]), 2: plain(TEXTS[1])}
+
+
 def test_odd_rows(docs, odd_rows, tmp_path):
     found = secrets.scan_versions(docs(odd_rows), str(tmp_path / "a")).collect()
     assert len(found) == len(odd_rows)
