@@ -50,12 +50,12 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/riskflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "lz4") -> DataFrame:
     """Cut lineage with a table written once to the shared folder. A lost executor re-reads files instead of
     recomputing, and values such as a chunk number are fixed for good. Written columnar, so later passes read
     only the columns they use."""
     path = staging_path(df.sparkSession, "table")
-    df.write.option("compression", "lz4").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
