@@ -515,7 +515,7 @@ def score_texts(resolved: DataFrame, model: ClassModel, n_ends: int) -> DataFram
 def fit(docs: DataFrame, dictionary_size: int = DICTIONARY, core_size: int = CORE) -> tuple[DataFrame, ClassModel, int]:
     """``docs``: id, held, text. Returns the texts as classes, the model, and how often the end was seen."""
     learning = docs.where(~F.col("held"))
-    counted = materialize(count_words(learning))
+    counted = materialize(count_words(learning), "zstd")
     n_ends = learning.count()
     totals = counted.agg(F.count(F.lit(1)), F.sum("c"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     tokens, words = (totals[1] or 0) + n_ends, totals[0] + (n_ends > 0)
@@ -523,9 +523,9 @@ def fit(docs: DataFrame, dictionary_size: int = DICTIONARY, core_size: int = COR
     top = most_frequent(counted, dictionary_size)
     dictionary, core = [w for w, _ in top], min(core_size, len(top))
 
-    chunks = materialize(encode_chunks(docs, dictionary))
+    chunks = materialize(encode_chunks(docs, dictionary), "zstd")
     classes, counts = exchange(materialize(core_neighbours(chunks, core)), core)
-    others = materialize(other_classes(chunks, dictionary, classes, counts))
+    others = materialize(other_classes(chunks, dictionary, classes, counts), "zstd")
     # classes of the dictionary: at most dictionary_size rows
     of_class, of_count = np.zeros(max(1, len(top)), np.uint8), np.array([c for _, c in top] or [0], np.int64)
     of_class[:core] = classes[:core]
@@ -533,7 +533,7 @@ def fit(docs: DataFrame, dictionary_size: int = DICTIONARY, core_size: int = COR
     frequent = others.sparkSession.createDataFrame([(w,) for w in dictionary[core:]], "word binary")
     for word, at in others.join(F.broadcast(frequent), "word").select("word", "class").collect():
         of_class[number[bytes(word)]] = at
-    resolved = materialize(resolve(chunks, others))
+    resolved = materialize(resolve(chunks, others), "zstd")
     sizes, sums = _class_sizes(others, of_class[:core], of_count[:core])
     sizes[END], sums[END] = 1, n_ends
     of_class[(of_count == 1) & (len(top) > 0)] += SINGLE
