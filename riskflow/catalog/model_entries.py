@@ -18,6 +18,7 @@ from riskflow.operators import selection as v
 from riskflow.operators import warehouse as w
 from riskflow.operators.features import align_features, build_feature_store
 from riskflow.plans import model as ml
+from riskflow.plans.isotonic import isotonic_blocks
 from riskflow.plans.load import staged_warehouse
 from riskflow.session import materialize, staging_path
 from riskflow.sources import files
@@ -293,6 +294,15 @@ register("m7_search", lambda spark, sf: ml.search(m.expanding_folds(training(spa
                                                   [{"regParam": 0.01, "maxIter": 4}, {"regParam": 0.1, "maxIter": 4}], INPUTS))
 register("m13_calibration", lambda spark, sf: training(spark, sf)[2].groupBy("split").agg(
     F.avg("raw_probability").alias("mean_raw"), F.avg("calibrated_probability").alias("mean_calibrated"), F.avg("is_laundering").alias("observed")))
+register("m13_isotonic_blocks", lambda spark, sf: isotonic_blocks(
+    table(spark, sf, "lineitem").select("l_quantity", F.expr("CAST(l_returnflag = 'R' OR l_quantity > 30 AND l_linenumber = 1 AS INT)").alias("y")), "l_quantity", "y"),
+    """WITH p AS (SELECT l_quantity::DOUBLE AS s, COUNT(*) AS n, SUM(CAST(l_returnflag = 'R' OR l_quantity > 30 AND l_linenumber = 1 AS INTEGER)) AS y FROM lineitem GROUP BY 1),
+    c AS (SELECT s, n, y, SUM(n) OVER (ORDER BY s) AS n_to, SUM(y) OVER (ORDER BY s) AS y_to FROM p),
+    lo AS (SELECT i.s, j.s AS a, MIN((k.y_to - j.y_to + j.y) / CAST(k.n_to - j.n_to + j.n AS DOUBLE)) AS least
+      FROM c i JOIN c j ON j.s <= i.s JOIN c k ON k.s >= i.s GROUP BY 1, 2),
+    f AS (SELECT s, MAX(least) AS v FROM lo GROUP BY 1)
+    SELECT MIN(s) AS low, MAX(s) AS high, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(y) AS BIGINT) AS positives, SUM(y) / CAST(SUM(n) AS DOUBLE) AS calibrated
+    FROM f JOIN c USING (s) GROUP BY v""")
 register("m18_importance", lambda spark, sf: ml.feature_importance(spark, training(spark, sf)[1], INPUTS))
 
 

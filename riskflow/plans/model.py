@@ -13,6 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.plans.isotonic import corner_points, isotonic_blocks
 from riskflow.streaming.sources import table_or_none
 
 
@@ -77,9 +78,9 @@ def search(folds: DataFrame, kind: str, grid: Iterable[Mapping[str, object]], nu
 
 
 def fit_calibrator(validation: DataFrame, score_column: str = "raw_probability", label: str = "is_laundering"):
-    """Isotonic in the score itself."""
-    rows = validation.select(F.col(score_column).cast("double").alias("score"), F.col(label).cast("double").alias("target"))
-    return IsotonicRegression(featuresCol="score", labelCol="target", predictionCol="calibrated").fit(rows)
+    """Isotonic in the score itself. Violators are pooled in tasks first; the driver sees the corners of the blocks only."""
+    corners = corner_points(isotonic_blocks(validation, score_column, label))
+    return IsotonicRegression(featuresCol="score", labelCol="target", weightCol="weight", predictionCol="calibrated").fit(corners)
 
 
 def calibrate(calibrator, df: DataFrame, score_column: str = "raw_probability", name: str = "calibrated_probability") -> DataFrame:
