@@ -63,9 +63,9 @@ def contributions(features: Sequence[str], coefficients: Mapping[str, float], me
 
 
 def _ranked(values: Mapping[str, Column], key: Callable[[Column], Column]) -> Column:
-    """All features as structs, best first; the position in the list settles ties."""
+    """All features as structs, best first; the position in the list settles ties. The value of a category is NULL."""
     return F.array_sort(F.array(*[
-        F.struct(key(v).alias("rank"), F.lit(i).alias("position"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), v.alias("impact"))
+        F.struct(key(v).alias("rank"), F.lit(i).alias("position"), F.lit(f).alias("feature"), F.col(f).try_cast("double").alias("value"), v.alias("impact"))
         for i, (f, v) in enumerate(values.items())]))
 
 
