@@ -6,7 +6,7 @@ from riskflow.catalog.feature_sql import FEATURES, features_sql
 from riskflow.catalog.registry import big, register, with_tx
 from riskflow.operators import features as f
 from riskflow.operators import registry as reg
-from riskflow.operators.profiles import distribution_baseline, feature_health
+from riskflow.operators.profiles import DOMAIN_CRITICAL, distribution_baseline, feature_health
 from riskflow.operators.registry import FEATURE_NAMES, MODEL_ORDER
 from riskflow.session import materialize
 from riskflow.sources.star_tables import transactions
@@ -145,25 +145,39 @@ register("f24_category_summary", f24, with_tx(
     + ", ".join(f"('{r[1]}', '{r[5]}', {str(r[6]).lower()})" for r in reg.RECORDS)
     + ") v(category, a, l) WHERE (SELECT COUNT(*) FROM tx) > 0 GROUP BY 1"))
 
-PROFILED = ["amount_paid", "account_avg_amount", "seconds_since_last_tx", "rolling_mean_5", "unique_counterparties", "bank_fraud_rate",
-            "zero_amount_flag", "rapid_transfer_flag"]
-LONG = "v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature_name, CAST({n} AS DOUBLE) AS x FROM feat" for n in PROFILED) + ")"
+LONG = "v AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in FEATURE_NAMES) + "]) AS feature_name, unnest([" + ", ".join(
+    f"CAST({n} AS DOUBLE)" for n in FEATURE_NAMES) + "]) AS x FROM feat)"
 
 
-def _rounded(df, digits, *names):
-    return df.withColumns({n: F.round(n, digits) for n in names})
+def _significant(df, *names, digits=9):
+    """Six digits after the point and nine in all, as SIGNIFICANT in SQL: the two add in different orders. Interpolated values keep
+    twelve, which hold every cent times a quarter, so that no value lies half-way."""
+    return df.withColumns({n: F.format_string(f"%.{digits - 1}e", F.round(n, 6)).cast("double") for n in names})
 
 
-register("f25_distribution", lambda spark, sf: _rounded(
-    distribution_baseline(store(spark, sf), PROFILED), 4, "mean", "std", "std_population", "median", "p25", "p75", "min", "max"),
-         features_sql(*PROFILED, ctes=(LONG,), tail="""
-    SELECT feature_name, ROUND(AVG(x), 4) AS mean, ROUND(stddev_samp(x), 4) AS std, ROUND(stddev_pop(x), 4) AS std_population,
-      ROUND(quantile_cont(x, 0.5), 4) AS median, ROUND(quantile_cont(x, 0.25), 4) AS p25, ROUND(quantile_cont(x, 0.75), 4) AS p75,
-      ROUND(MIN(x), 4) AS min, ROUND(MAX(x), 4) AS max FROM v GROUP BY 1"""))
-register("f26_health", lambda spark, sf: feature_health(store(spark, sf), PROFILED).select(
-    "feature_name", "missing_pct", F.round(F.sqrt("variance"), 4).alias("std"), "cardinality", F.round("skewness", 4).alias("skewness"), "status"),
-         features_sql(*PROFILED, ctes=(LONG, "m AS (SELECT *, x - AVG(x) OVER (PARTITION BY feature_name) AS d FROM v)"), tail="""
-    SELECT feature_name, 0.0::DOUBLE AS missing_pct, ROUND(stddev_samp(x), 4) AS std, COUNT(DISTINCT x) AS cardinality,
+SIGNIFICANT = "CAST(printf('%.8e', ROUND({}, 6)) AS DOUBLE)"
+INTERPOLATED = "CAST(printf('%.11e', ROUND({}, 6)) AS DOUBLE)"
+MOMENTS = {"mean": "AVG(x)", "std": "stddev_samp(x)", "std_population": "stddev_pop(x)", "median": "quantile_cont(x, 0.5)",
+           "p25": "quantile_cont(x, 0.25)", "p75": "quantile_cont(x, 0.75)", "min": "MIN(x)", "max": "MAX(x)"}
+SUMMED = ("mean", "std", "std_population")
+
+
+def profiled(spark, sf):
+    """All features of the store; sines, cosines and logarithms to nine digits, as in the SQL, so that distinct values are the same."""
+    return pick(store(spark, sf), *FEATURE_NAMES)
+
+
+def f25(spark, sf):
+    table = distribution_baseline(profiled(spark, sf), FEATURE_NAMES)
+    return _significant(_significant(table, *SUMMED), *[n for n in MOMENTS if n not in SUMMED], digits=12)
+
+
+register("f25_distribution", f25, features_sql(*FEATURE_NAMES, ctes=(LONG,), tail="SELECT feature_name, " + ", ".join(
+    f"{SIGNIFICANT.format(sql) if name in SUMMED else INTERPOLATED.format(sql)} AS {name}" for name, sql in MOMENTS.items()) + " FROM v GROUP BY 1"))
+register("f26_health", lambda spark, sf: _significant(feature_health(profiled(spark, sf), FEATURE_NAMES).select(
+    "feature_name", "missing_pct", F.sqrt("variance").alias("std"), "cardinality", F.round("skewness", 4).alias("skewness"), "status"), "std"),
+         features_sql(*FEATURE_NAMES, ctes=(LONG, "m AS (SELECT *, x - AVG(x) OVER (PARTITION BY feature_name) AS d FROM v)"), tail=f"""
+    SELECT feature_name, 0.0::DOUBLE AS missing_pct, {SIGNIFICANT.format('stddev_samp(x)')} AS std, COUNT(DISTINCT x) AS cardinality,
       CASE WHEN var_samp(x) > 0 THEN ROUND((SUM(d * d * d) / COUNT(x)) / pow(SUM(d * d) / COUNT(x), 1.5), 4) ELSE 0.0 END AS skewness,
-      CASE WHEN var_samp(x) < 1e-5 AND feature_name NOT IN ('zero_amount_flag', 'rapid_transfer_flag') THEN 'WARNING' ELSE 'HEALTHY' END AS status
+      CASE WHEN var_samp(x) < 1e-5 AND feature_name NOT IN ({', '.join(f"'{n}'" for n in DOMAIN_CRITICAL)}) THEN 'WARNING' ELSE 'HEALTHY' END AS status
     FROM m GROUP BY 1"""))

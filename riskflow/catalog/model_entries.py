@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskflow.catalog.feature_entries import store
 from riskflow.catalog.feature_sql import features_sql
 from riskflow.catalog.registry import TX_SQL, big, pct, register, rounded, total, with_tx
+from riskflow.operators import attribution as at
 from riskflow.operators import graph as g
 from riskflow.operators import metrics as m
 from riskflow.operators import online as o
@@ -33,13 +34,21 @@ def round_all(df, digits, *names):
 
 # ---- feature validation ---------------------------------------------------------------------------------------
 
-CHOSEN = ["amount_paid", "amount_received", "account_avg_amount", "account_max_amount", "rolling_mean_5", "rolling_sum_5", "rolling_mean_20",
-          "seconds_since_last_tx"]
-FLAGS = ["self_transfer_flag", "cross_bank_flag", "high_value_flag", "weekend_flag", "business_hours_flag", "night_transaction_flag"]
+ALL = reg.FEATURE_NAMES
+FLAGS = [n for n in ALL if n.endswith("_flag")]
 
 
 def long_sql(names, extra=""):
-    return "v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature_name, CAST({n} AS DOUBLE) AS x, label FROM feat" for n in names) + ")"
+    """(feature_name, x, label) from one read of the wide rows."""
+    return ("v AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS feature_name, unnest([" + ", ".join(
+        f"CAST({n} AS DOUBLE)" for n in names) + f"]) AS x, label{extra} FROM feat)")
+
+
+def pairs_sql(names, measure):
+    """(feature_a, feature_b, r) for all pairs, one aggregate each, from one read of the wide rows."""
+    both = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    return ("c AS (SELECT unnest([" + ", ".join(f"'{a}'" for a, _ in both) + "]) AS feature_a, unnest([" + ", ".join(f"'{b}'" for _, b in both)
+            + "]) AS feature_b, unnest([" + ", ".join(measure(f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)") for a, b in both) + "]) AS r FROM feat)")
 
 
 def v1(spark, sf):
@@ -68,55 +77,64 @@ register("v3_null_audit", lambda spark, sf: v.null_audit(store(spark, sf).select
                     FROM (SELECT COUNT(*) FILTER (hour(ts) < 6 OR hour(ts) >= 22) AS n FROM tx)"""))
 register("v3_duplicate_rows", lambda spark, sf: v.duplicate_rows(store(spark, sf), ["from_account", "to_account", "hour"]),
          with_tx("SELECT COUNT(*) - COUNT(DISTINCT (from_account, to_account, hour(ts))) AS duplicate_rows FROM tx"))
-register("v4_column_kinds", lambda spark, sf: v.column_kinds(store(spark, sf).select(*CHOSEN, *FLAGS, "payment_format", "is_laundering")),
-         features_sql(*CHOSEN, *FLAGS, ctes=(long_sql([*CHOSEN, *FLAGS]),), tail="""SELECT feature_name, CASE WHEN COUNT(*) FILTER (x NOT IN (0, 1)) = 0
+register("v4_column_kinds", lambda spark, sf: v.column_kinds(store(spark, sf).select(*ALL, "payment_format", "is_laundering")),
+         features_sql(*ALL, ctes=(long_sql(ALL),), tail="""SELECT feature_name, CASE WHEN COUNT(*) FILTER (x NOT IN (0, 1)) = 0
             THEN 'binary' ELSE 'continuous' END AS kind FROM v GROUP BY 1 UNION ALL SELECT 'payment_format', 'categorical'"""))
-register("v5_variance", lambda spark, sf: v.variance_report(store(spark, sf), [*CHOSEN, "zero_amount_flag"]).select(
-    "feature_name", F.round(F.sqrt("variance"), 4).alias("std"), F.round(F.nanvl("skewness", F.lit(None)), 4).alias("skewness"), "near_zero_variance"),
-         features_sql(*CHOSEN, "zero_amount_flag", ctes=(long_sql([*CHOSEN, "zero_amount_flag"]),
-                      "d AS (SELECT *, x - AVG(x) OVER (PARTITION BY feature_name) AS e FROM v)"),
-                      tail="""SELECT feature_name, ROUND(stddev_samp(x), 4) AS std, CASE WHEN var_samp(x) > 0 THEN
+SIGNIFICANT = "CAST(printf('%.8e', ROUND({}, 6)) AS DOUBLE)"
+
+
+def significant(df, *names):
+    """Six digits after the point and nine in all: sums of 58 features of very different size, added in another order than in SQL."""
+    return df.withColumns({n: F.format_string("%.8e", F.round(n, 6)).cast("double") for n in names})
+
+
+register("v5_variance", lambda spark, sf: significant(v.variance_report(store(spark, sf), ALL).select(
+    "feature_name", F.sqrt("variance").alias("std"), F.round(F.nanvl("skewness", F.lit(None)), 4).alias("skewness"), "near_zero_variance"), "std"),
+         features_sql(*ALL, ctes=(long_sql(ALL), "d AS (SELECT *, x - AVG(x) OVER (PARTITION BY feature_name) AS e FROM v)"),
+                      tail=f"""SELECT feature_name, {SIGNIFICANT.format('stddev_samp(x)')} AS std, CASE WHEN var_samp(x) > 0 THEN
             ROUND((SUM(e * e * e) / COUNT(x)) / pow(SUM(e * e) / COUNT(x), 1.5), 4) END AS skewness, var_samp(x) < 1e-5 AS near_zero_variance FROM d GROUP BY 1"""))
-_PAIRS = [(a, b) for i, a in enumerate(CHOSEN) for b in CHOSEN[i + 1:]]
-CORR = "c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM feat"
-                                     for a, b in _PAIRS) + ")"
-register("v6_pearson", lambda spark, sf: round_all(v.pearson_matrix(store(spark, sf), CHOSEN), 6, "correlation"),
-         features_sql(*CHOSEN, ctes=(CORR,), tail="SELECT feature_a, feature_b, ROUND(r, 6) AS correlation FROM c"))
-register("v6_high_pairs", lambda spark, sf: round_all(v.high_pairs(v.pearson_matrix(store(spark, sf), CHOSEN), 0.6), 6, "correlation").drop("reason"),
-         features_sql(*CHOSEN, ctes=(CORR,), tail="""SELECT feature_a, feature_b, ROUND(abs(r), 6) AS correlation, 'Pearson' AS metric,
-            CASE WHEN regexp_extract(feature_a, '[0-9]+$') <> regexp_extract(feature_b, '[0-9]+$') AND regexp_extract(feature_a, '[0-9]+$') <> ''
-              AND regexp_extract(feature_b, '[0-9]+$') <> '' THEN 'Keep' ELSE 'Review' END AS decision FROM c WHERE abs(r) >= 0.6"""))
-_FLAG_PAIRS = [(a, b) for i, a in enumerate(FLAGS) for b in FLAGS[i + 1:]]
-register("v7_phi", lambda spark, sf: round_all(v.phi_pairs(store(spark, sf), FLAGS), 9, "phi"), features_sql(*FLAGS, tail=" UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, ROUND(COALESCE(corr({a}, {b}), 0.0), 9) AS phi FROM feat" for a, b in _FLAG_PAIRS)))
-register("v8_leakage", lambda spark, sf: round_all(v.leakage(store(spark, sf), [*CHOSEN, *FLAGS]), 9, "correlation_with_target"),
-         features_sql(*CHOSEN, *FLAGS, ctes=(long_sql([*CHOSEN, *FLAGS]),), tail="""SELECT feature_name, ROUND(abs(corr(x, label)), 9) AS correlation_with_target,
-            COALESCE(abs(corr(x, label)) >= 0.99, false) AS leaks FROM v GROUP BY 1"""))
+CORR = pairs_sql(ALL, lambda a, b: f"corr({a}, {b})")
+SHAPED = "(" + ", ".join(f"'{n}'" for n in v.RESHAPED) + ")"
+SPANS = "regexp_extract({}, '_[a-z]*([0-9]+)$', 1)"
+KEEP = (f"(({SPANS.format('feature_a')} <> '' AND {SPANS.format('feature_b')} <> '' AND {SPANS.format('feature_a')} <> {SPANS.format('feature_b')})"
+        f" OR (feature_a IN {SHAPED}) <> (feature_b IN {SHAPED}))")
+register("v6_pearson", lambda spark, sf: round_all(v.pearson_matrix(store(spark, sf), ALL), 6, "correlation"),
+         features_sql(*ALL, ctes=(CORR,), tail="SELECT feature_a, feature_b, ROUND(r, 6) + 0.0 AS correlation FROM c WHERE r IS NOT NULL AND NOT isnan(r)"))
+register("v6_high_pairs", lambda spark, sf: round_all(v.high_pairs(v.pearson_matrix(store(spark, sf), ALL), 0.6), 6, "correlation").drop("reason"),
+         features_sql(*ALL, ctes=(CORR,), tail=f"""SELECT feature_a, feature_b, ROUND(abs(r), 6) AS correlation, 'Pearson' AS metric,
+            CASE WHEN {KEEP} THEN 'Keep' ELSE 'Review' END AS decision FROM c WHERE abs(r) >= 0.6 AND NOT isnan(r)"""))
+register("v7_phi", lambda spark, sf: round_all(v.phi_pairs(store(spark, sf), FLAGS), 9, "phi"), features_sql(*FLAGS, ctes=(pairs_sql(
+    FLAGS, lambda a, b: f"corr({a}, {b})"),), tail="SELECT feature_a, feature_b, ROUND(CASE WHEN isnan(r) THEN 0.0 ELSE COALESCE(r, 0.0) END, 9) + 0.0 AS phi FROM c"))
+register("v8_leakage", lambda spark, sf: round_all(v.leakage(store(spark, sf), ALL), 9, "correlation_with_target"),
+         features_sql(*ALL, ctes=(long_sql(ALL),), tail="""SELECT feature_name, ROUND(CASE WHEN NOT isnan(r) THEN abs(r) END, 9) AS correlation_with_target,
+            COALESCE(abs(r) >= 0.99 AND NOT isnan(r), false) AS leaks FROM (SELECT feature_name, corr(x, label) AS r FROM v GROUP BY 1)"""))
 
 
 def v9(spark, sf):
     feats = store(spark, sf)
     return v.quality_score(
-        v.null_audit(feats.select(*CHOSEN, *FLAGS)), v.leakage(feats, [*CHOSEN, *FLAGS]), v.variance_report(feats, [*CHOSEN, *FLAGS]),
-        v.high_pairs(v.pearson_matrix(feats, CHOSEN), 0.6), w.out_of_order_rows(w.denormalize(staged_warehouse(spark, sf)), "transaction_key", "ts"),
+        v.null_audit(feats.select(*ALL)), v.leakage(feats, ALL), v.variance_report(feats, ALL),
+        v.high_pairs(v.pearson_matrix(feats, ALL), 0.95), w.out_of_order_rows(w.denormalize(staged_warehouse(spark, sf)), "transaction_key", "ts"),
         v.duplicate_rows(feats, ["transaction_id"]))
 
 
-register("v9_quality_score", v9, features_sql(*CHOSEN, *FLAGS, ctes=(CORR, long_sql([*CHOSEN, *FLAGS])), tail=f"""
-    SELECT {rounded("100.0 - low / 14.0 * 20.0 - pairs / 14.0 * 20.0", 1)} AS feature_quality_score, 'PASSED' AS data_integrity, 'PASSED' AS target_leakage,
-      'PASSED' AS missing_values, low AS near_zero_variance_columns, CASE WHEN pairs = 0 THEN 'PASSED' ELSE 'WARNING' END AS multicollinearity,
-      'PASSED' AS overall_readiness
-    FROM (SELECT COUNT(*) AS pairs FROM c WHERE abs(r) >= 0.6), (SELECT COUNT(*) AS low FROM (SELECT feature_name FROM v GROUP BY 1 HAVING var_samp(x) < 1e-5))"""))
+register("v9_quality_score", v9, features_sql(*ALL, ctes=(CORR, long_sql(ALL)), tail=f"""
+    SELECT {rounded(f"100.0 - low / {len(ALL)}.0 * 20.0 - least(20.0, pairs / {len(ALL)}.0 * 20.0)", 1)} AS feature_quality_score, 'PASSED' AS data_integrity,
+      'PASSED' AS target_leakage, 'PASSED' AS missing_values, low AS near_zero_variance_columns,
+      CASE WHEN pairs = 0 THEN 'PASSED' ELSE 'WARNING' END AS multicollinearity, 'PASSED' AS overall_readiness
+    FROM (SELECT COUNT(*) AS pairs FROM c WHERE abs(r) >= 0.95 AND NOT isnan(r)),
+      (SELECT COUNT(*) AS low FROM (SELECT feature_name FROM v GROUP BY 1 HAVING var_samp(x) < 1e-5))"""))
 register("v10_selection_audit", lambda spark, sf: v.selection_audit(
-    v.variance_report(store(spark, sf), [*CHOSEN, *FLAGS, "zero_amount_flag", "weekday"]), v.high_pairs(v.pearson_matrix(store(spark, sf), CHOSEN), 0.6)).drop("variance"),
-         features_sql(*CHOSEN, *FLAGS, "zero_amount_flag", "weekday", ctes=(CORR, long_sql([*CHOSEN, *FLAGS, "zero_amount_flag", "weekday"]),
-         """d AS (SELECT DISTINCT feature_b FROM c WHERE abs(r) >= 0.6 AND NOT ((feature_a LIKE '%5%' AND feature_b LIKE '%20%')
-              OR (feature_a LIKE '%20%' AND feature_b LIKE '%5%') OR (feature_a LIKE '%1%' AND feature_b LIKE '%5%')))"""), tail="""
-    SELECT feature_name, CASE WHEN feature_b IS NOT NULL THEN 'DROPPED' ELSE 'RETAINED' END AS decision,
-      CASE WHEN feature_b IS NOT NULL THEN 'Multicollinearity' WHEN s < 1e-5 THEN 'Rare but domain-critical' ELSE 'Sufficient variance' END AS reason
-    FROM (SELECT feature_name, var_samp(x) AS s FROM v GROUP BY 1) LEFT JOIN d ON feature_b = feature_name"""))
-register("v10_selected_store", lambda spark, sf: v.select_features(store(spark, sf).select("transaction_id", *CHOSEN), v.selection_audit(
-    v.variance_report(store(spark, sf), CHOSEN), v.high_pairs(v.pearson_matrix(store(spark, sf), CHOSEN), 0.6))))
+    v.variance_report(store(spark, sf), ALL), v.high_pairs(v.pearson_matrix(store(spark, sf), ALL), 0.95)).drop("variance"),
+         features_sql(*ALL, ctes=(CORR, long_sql(ALL),
+         f"d AS (SELECT DISTINCT feature_b FROM c WHERE abs(r) >= 0.95 AND NOT isnan(r) AND NOT {KEEP})"), tail=f"""
+    SELECT feature_name, CASE WHEN feature_b IS NOT NULL OR (s < 1e-5 AND NOT critical) THEN 'DROPPED' ELSE 'RETAINED' END AS decision,
+      CASE WHEN s < 1e-5 AND NOT critical THEN 'Near-zero variance' WHEN feature_b IS NOT NULL THEN 'Multicollinearity'
+        WHEN s < 1e-5 THEN 'Rare but domain-critical' ELSE 'Sufficient variance' END AS reason
+    FROM (SELECT feature_name, var_samp(x) AS s, feature_name IN ({', '.join(f"'{n}'" for n in p.DOMAIN_CRITICAL)}) AS critical FROM v GROUP BY 1)
+      LEFT JOIN d ON feature_b = feature_name"""))
+register("v10_selected_store", lambda spark, sf: v.select_features(store(spark, sf).select("transaction_id", *ALL), v.selection_audit(
+    v.variance_report(store(spark, sf), ALL), v.high_pairs(v.pearson_matrix(store(spark, sf), ALL), 0.95))))
 
 
 def v11(spark, sf):
@@ -250,7 +268,7 @@ _metric("m17_production_gates", lambda spark, sf: m.production_gates(m.ranking_m
 
 # ---- trained models: rows only --------------------------------------------------------------------------------
 
-INPUTS = ["amount_paid", "amount_ratio", "account_avg_amount", "ratio_to_account_average", "rolling_mean_5", "seconds_since_last_tx", "hour", "bank_fraud_rate"]
+INPUTS = [name for name, _ in reg.MODEL_ORDER]
 CATEGORIES = ["payment_format"]
 _TRAINED = {}
 
@@ -259,8 +277,9 @@ def training(spark, sf):
     """Split, model and scores of one source folder, computed once per application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
-        rows = materialize(m.temporal_split(store(spark, sf), ["ts", "transaction_id"]))
-        model = ml.fit(rows.where(F.col("split") == "train"), "logistic_regression", INPUTS, CATEGORIES, maxIter=10)
+        vectors = align_features(store(spark, sf), keys=("transaction_id", "ts", "is_laundering", *CATEGORIES))
+        rows = materialize(m.temporal_split(vectors, ["ts", "transaction_id"]))
+        model = ml.fit(rows.where(F.col("split") == "train"), "logistic_regression", INPUTS, CATEGORIES)
         raw = ml.score(model, rows, INPUTS, CATEGORIES)
         calibrator = ml.fit_calibrator(raw.where(F.col("split") == "validation"))
         _TRAINED[key] = rows, model, materialize(ml.calibrate(calibrator, raw))
@@ -277,21 +296,37 @@ def m5(spark, sf):
     return fitted.transform(ready).select("transaction_id", "split", F.size(vector_to_array("features")).alias("input_count"))
 
 
+def candidate(spark, sf, kind):
+    """A learner of ``CANDIDATES`` fitted on all inputs of the training rows, once per application."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _TRAINED:
+        rows, linear, _ = training(spark, sf)
+        _TRAINED[key] = linear if kind == "logistic_regression" else ml.fit(rows.where(F.col("split") == "train"), kind, INPUTS, CATEGORIES)
+    return _TRAINED[key]
+
+
 def m6(spark, sf):
+    """Every learner with its full rounds, scored on the test rows."""
     rows = training(spark, sf)[0]
     out = None
-    for kind, params in (("logistic_regression", {"maxIter": 5}), ("gradient_boosted_trees", {"maxIter": 3, "maxDepth": 3})):
-        model = ml.fit(rows.where(F.col("split") == "train"), kind, INPUTS, CATEGORIES, **params)
+    for kind in ml.CANDIDATES:
+        model = candidate(spark, sf, kind)
         held = ml.score(model, rows.where(F.col("split") == "test"), INPUTS, CATEGORIES)
         row = m.ranking_metrics(m.score_curve(held, "raw_probability", "is_laundering")).withColumn("model_name", F.lit(kind))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def m7(spark, sf):
+    """Two drawn settings of each learner in two rungs; rounds, trees and depth are lowered from SEARCH_SPACE to keep the check short."""
+    short = {"maxIter": (10, 40, False), "numTrees": (10, 40, False), "maxDepth": (3, 6, False)}
+    settings = {kind: ml.draw_settings(kind, 2, space={n: short.get(n, r) for n, r in space.items()}) for kind, space in ml.SEARCH_SPACE.items()}
+    return ml.search(m.expanding_folds(training(spark, sf)[0]), settings, INPUTS, CATEGORIES, resources=(1 / 3, 1.0))
+
+
 register("m5_preprocessing", m5)
 register("m6_candidates", m6)
-register("m7_search", lambda spark, sf: ml.search(m.expanding_folds(training(spark, sf)[0]), "logistic_regression",
-                                                  [{"regParam": 0.01, "maxIter": 4}, {"regParam": 0.1, "maxIter": 4}], INPUTS))
+register("m7_search", m7)
 register("m13_calibration", lambda spark, sf: training(spark, sf)[2].groupBy("split").agg(
     F.avg("raw_probability").alias("mean_raw"), F.avg("calibrated_probability").alias("mean_calibrated"), F.avg("is_laundering").alias("observed")))
 register("m13_isotonic_blocks", lambda spark, sf: isotonic_blocks(
@@ -316,6 +351,23 @@ def m19(spark, sf):
 
 register("m19_registry", m19)
 
+# ---- attribution of the trained trees ---------------------------------------------------------------------------
+
+
+def tree_shares(spark, sf):
+    """Test rows with the forest's exact shares, and the share of each input."""
+    held = ml.prepare(training(spark, sf)[0].where(F.col("split") == "test"), INPUTS, CATEGORIES)
+    return at.explain(candidate(spark, sf, "random_forest"), held, INPUTS, CATEGORIES)[:2]
+
+
+def x6_tree(spark, sf):
+    rows, inputs = tree_shares(spark, sf)
+    return s.signed_contributions(rows, inputs).select("transaction_id", "raw_probability", "top_risk_drivers", "top_safety_drivers")
+
+
+register("x6_tree_drivers", x6_tree)
+register("x9_tree_importance", lambda spark, sf: s.global_importance(*tree_shares(spark, sf)))
+
 # ---- scoring --------------------------------------------------------------------------------------------------
 
 
@@ -433,17 +485,17 @@ _metric("x11_error_groups", lambda spark, sf: scored(spark, sf).groupBy(s.error_
 
 
 def x12(spark, sf):
-    joined = store(spark, sf).select(*CHOSEN, "ts", "is_laundering")
-    return round_all(s.error_profile(fixed_score(joined), CHOSEN, "p", "is_laundering", 0.6), 4, "tp_mean", "fp_mean", "tn_mean", "fn_mean", "fp_vs_tp_skew", "fn_vs_tn_skew")
+    joined = store(spark, sf).select(*ALL, "ts", "is_laundering")
+    return round_all(s.error_profile(fixed_score(joined), ALL, "p", "is_laundering", 0.6), 4, "tp_mean", "fp_mean", "tn_mean", "fn_mean", "fp_vs_tp_skew", "fn_vs_tn_skew")
 
 
 def _mean(group):
     return f"COALESCE(AVG(x) FILTER (e = '{group}'), 0.0)"
 
 
-register("x12_error_profile", x12, features_sql(*CHOSEN, ctes=(
+register("x12_error_profile", x12, features_sql(*ALL, ctes=(
     """z AS (SELECT *, label AS y, CAST(amount_paid AS DOUBLE) / 105000.0::DOUBLE * 0.6::DOUBLE + hour(tx_ts) / 24.0::DOUBLE * 0.2::DOUBLE + label * 0.15::DOUBLE AS p FROM feat)""",
-    "v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature_name, CAST({n} AS DOUBLE) AS x, {GROUP} AS e FROM z" for n in CHOSEN) + ")"), tail=f"""
+    long_sql(ALL, f", {GROUP} AS e").replace("FROM feat", "FROM z")), tail=f"""
     SELECT feature_name, ROUND(tp, 4) AS tp_mean, ROUND(fp, 4) AS fp_mean, ROUND(tn, 4) AS tn_mean, ROUND(fn, 4) AS fn_mean,
       ROUND(abs(fp - tp), 4) AS fp_vs_tp_skew, ROUND(abs(fn - tn), 4) AS fn_vs_tn_skew FROM (
       SELECT feature_name, {_mean('TP')} AS tp, {_mean('FP')} AS fp, {_mean('TN')} AS tn, {_mean('FN')} AS fn FROM v GROUP BY 1)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from math import ceil, exp
+from math import log as ln
+from random import Random
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.plans.isotonic import corner_points, isotonic_blocks
+from riskflow.session import materialize
 from riskflow.streaming.sources import table_or_none
 
 
@@ -61,20 +65,73 @@ def score(model: PipelineModel, df: DataFrame, numeric: Sequence[str], categoric
     return scored.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
-def search(folds: DataFrame, kind: str, grid: Iterable[Mapping[str, object]], numeric: Sequence[str], categorical: Sequence[str] = (),
-           label: str = "is_laundering") -> DataFrame:
-    """Mean PR-AUC over the expanding folds for each parameter set. The loop is over the small grid; each fit is a Spark job."""
+# The ranges that are searched. (low, high, drawn on a log scale)
+SEARCH_SPACE = {
+    "logistic_regression": {"maxIter": (50, 300, False), "regParam": (1e-8, 10.0, True), "elasticNetParam": (0.0, 1.0, False)},
+    "gradient_boosted_trees": {"maxIter": (50, 300, False), "stepSize": (0.01, 0.2, True), "maxDepth": (3, 10, False),
+                               "subsamplingRate": (0.6, 1.0, False), "featureSubsetStrategy": (0.6, 1.0, False)},
+    "random_forest": {"numTrees": (50, 300, False), "maxDepth": (3, 10, False), "minInstancesPerNode": (1, 50, True),
+                      "subsamplingRate": (0.6, 1.0, False), "featureSubsetStrategy": (0.1, 1.0, True)},
+}
+#: What a rung of the search gives out more of.
+RESOURCE = {"logistic_regression": "maxIter", "gradient_boosted_trees": "maxIter", "random_forest": "numTrees"}
+
+
+def draw_settings(kind: str, count: int, seed: int = 42, space: Mapping[str, tuple] | None = None) -> list[dict]:
+    """``count`` settings, uniform or log-uniform within the ranges; whole numbers where both ends are whole. The same seed draws the same."""
+    draw, out = Random(f"{kind}-{seed}"), []
+    for _ in range(count):
+        setting = {}
+        for name, (low, high, log) in (space or SEARCH_SPACE[kind]).items():
+            value = exp(draw.uniform(ln(low), ln(high))) if log else draw.uniform(low, high)
+            whole = isinstance(low, int) and isinstance(high, int)
+            setting[name] = min(max(round(value), low), high) if whole else str(round(value, 6)) if name == "featureSubsetStrategy" else value
+        out.append(setting)
+    return out
+
+
+def prepared_folds(folds: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "is_laundering") -> dict[int, tuple[DataFrame, DataFrame]]:
+    """fold -> (train, validation) as vectors. Filling, scaling and codes are fitted on the fold's training rows only, and the vectors are
+    written once, so that every fit of a search reads them and nothing else."""
+    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # a handful of folds
+    out = {}
+    for fold in numbers:
+        rows = prepare(folds.where(F.col("fold") == fold), numeric, categorical)
+        train = with_class_weight(rows.where(F.col("role") == "train"), label)
+        held = rows.where(F.col("role") == "validation").withColumn("class_weight", F.lit(1.0))
+        shape = Pipeline(stages=preprocessing(numeric, categorical)).fit(train)
+        out[fold] = tuple(materialize(shape.transform(part).select("features", label, "class_weight")) for part in (train, held))
+    return out
+
+
+def search(folds: DataFrame, settings: Mapping[str, Sequence[Mapping[str, object]]], numeric: Sequence[str], categorical: Sequence[str] = (),
+           label: str = "is_laundering", resources: Sequence[float] = (1 / 9, 1 / 3, 1.0), keep: float = 1 / 3) -> DataFrame:
+    """Successive halving over expanding folds: every rung fits the settings left with a larger share of their rounds or trees, scores
+    them by mean PR-AUC over the folds and keeps the best share. One row per setting and rung; the champion is the best of the last rung.
+
+    The loop is over the settings, whose number the caller gives; each fit and each score is a Spark job over the written vectors.
+    Ties go to the name of the learner and the order of its settings. A fold that holds one class only in training or validation
+    says nothing about a setting and is left out; without any usable fold the result is empty.
+    """
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR", numBins=0)  # every distinct score is a point
-    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    ready = {fold: parts for fold, parts in prepared_folds(folds, numeric, categorical, label).items()
+             if all(part.select(label).where(F.col(label).isNotNull()).distinct().count() == 2 for part in parts)}
+    left = [(kind, i, dict(s)) for kind, several in sorted(settings.items()) for i, s in enumerate(several)] if ready else []
     found = []
-    for params in grid:
-        for fold in numbers:
-            part = folds.where(F.col("fold") == fold)
-            model = fit(part.where(F.col("role") == "train"), kind, numeric, categorical, label, **params)
-            held = prepare(part.where(F.col("role") == "validation"), numeric, categorical).withColumn("class_weight", F.lit(1.0))
-            found.append((kind, str(sorted(params.items())), int(fold), float(evaluator.evaluate(model.transform(held)))))
-    scored = folds.sparkSession.createDataFrame(found, "model_name string, params string, fold int, pr_auc double")
-    return scored.groupBy("model_name", "params").agg(F.avg("pr_auc").alias("mean_pr_auc"), F.count(F.lit(1)).alias("folds")).orderBy(F.desc("mean_pr_auc"))
+    for rung, share in enumerate(resources, start=1):
+        scores = []
+        for kind, i, setting in left:
+            used = {**setting, RESOURCE[kind]: max(1, round(setting[RESOURCE[kind]] * share))}
+            learner = CANDIDATES[kind](label, **used)
+            scores.append([float(evaluator.evaluate(learner.fit(train).transform(held))) for train, held in ready.values()])
+        order = sorted(range(len(left)), key=lambda j: (-sum(scores[j]), j))
+        stay = set(order[:max(1, ceil(len(left) * keep))]) if rung < len(resources) else set(order[:1])
+        for place, j in enumerate(order, start=1):
+            kind, i, setting = left[j]
+            found.append((rung, kind, i, str(sorted(setting.items())), float(share), sum(scores[j]) / len(ready), min(scores[j]), len(ready), place, j in stay))
+        left = [left[j] for j in sorted(stay)] if order else []
+    return folds.sparkSession.createDataFrame(
+        found, "rung int, model_name string, setting int, params string, resource double, mean_pr_auc double, worst_pr_auc double, folds int, place int, kept boolean")
 
 
 def fit_calibrator(validation: DataFrame, score_column: str = "raw_probability", label: str = "is_laundering"):
