@@ -71,10 +71,12 @@ def v2(spark, sf):
 
 register("v2_registry_audit", v2, with_tx(f"""SELECT {len(reg.RECORDS)} AS total_registered, 0 AS missing_descriptions, 0 AS invalid_availability,
     0 AS unflagged_target_dependencies, 0 AS duplicate_names, 'PASSED' AS registry_status FROM (SELECT COUNT(*) AS n FROM tx) WHERE n > 0"""))
-register("v3_null_audit", lambda spark, sf: v.null_audit(store(spark, sf).select(
-    "transaction_id", F.when(F.col("night_transaction_flag") == 0, F.col("log_amount")).alias("log_amount"), "hour")),
-         with_tx("""SELECT unnest(['transaction_id', 'log_amount', 'hour']) AS column_name, unnest([0, n, 0]) AS null_count
-                    FROM (SELECT COUNT(*) FILTER (hour(ts) < 6 OR hour(ts) >= 22) AS n FROM tx)"""))
+#: Every feature loses the rows whose hour is a multiple of its own number, so that the audit has something to find in each column.
+LOSSES = {n: 2 + i % 7 for i, n in enumerate(ALL)}
+register("v3_null_audit", lambda spark, sf: v.null_audit(store(spark, sf).select("transaction_id", *[
+    F.when(F.hour("ts") % k != 0, F.col(n)).alias(n) for n, k in LOSSES.items()])),
+         with_tx("""SELECT unnest(['transaction_id', """ + ", ".join(f"'{n}'" for n in LOSSES) + """]) AS column_name, unnest([0, """ + ", ".join(
+             f"COUNT(*) FILTER (hour(ts) % {k} = 0)" for k in LOSSES.values()) + """]) AS null_count FROM tx"""))
 register("v3_duplicate_rows", lambda spark, sf: v.duplicate_rows(store(spark, sf), ["from_account", "to_account", "hour"]),
          with_tx("SELECT COUNT(*) - COUNT(DISTINCT (from_account, to_account, hour(ts))) AS duplicate_rows FROM tx"))
 register("v4_column_kinds", lambda spark, sf: v.column_kinds(store(spark, sf).select(*ALL, "payment_format", "is_laundering")),
@@ -390,14 +392,15 @@ def x2(spark, sf):
     raw = build_feature_store(tx) if s.needs_features(tx, order) else tx
     ready = store(spark, sf)
     engineered = build_feature_store(ready) if s.needs_features(ready, order) else ready
-    names = ["numeric__account_total_paid", "numeric__rolling_std_5"]
+    names = [name for name, _ in reg.MODEL_ORDER]
     both = align_features(raw).select("transaction_id", *names).join(
         align_features(engineered).select("transaction_id", *[F.col(n).alias(f"b_{n}") for n in names]), "transaction_id")
-    return both.agg(F.count(F.lit(1)).alias("compared_rows"), F.count_if(F.col(names[0]) != F.col(f"b_{names[0]}")).alias("different_totals"),
-                    F.count_if(F.col(names[1]) != F.col(f"b_{names[1]}")).alias("different_spreads"))
+    other = both.agg(F.count(F.lit(1)).alias("compared_rows"), *[F.count_if(~F.col(n).eqNullSafe(F.col(f"b_{n}"))).alias(n) for n in names])
+    return other.select(F.explode(F.array(*[F.struct(F.lit(n).alias("input"), "compared_rows", F.col(n).alias("different_rows")) for n in names])).alias("r")).select("r.*")
 
 
-register("x2_route", x2, with_tx("SELECT COUNT(*) AS compared_rows, 0 AS different_totals, 0 AS different_spreads FROM tx"))
+register("x2_route", x2, with_tx("SELECT unnest([" + ", ".join(f"'{n}'" for n, _ in reg.MODEL_ORDER)
+                                 + "]) AS input, compared_rows, 0 AS different_rows FROM (SELECT COUNT(*) AS compared_rows FROM tx)"))
 PERCENT = "CAST(CAST(ROUND(CAST(p * 100 AS DECIMAL(28,8)), 1) AS DECIMAL(10,1)) AS VARCHAR) || '%'"
 TIER = "CASE WHEN p >= 0.75 THEN {} WHEN p >= 0.26 THEN {} WHEN p >= 0.10 THEN {} ELSE {} END"
 
