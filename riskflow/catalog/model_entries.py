@@ -16,6 +16,7 @@ from riskflow.operators import profiles as p
 from riskflow.operators import registry as reg
 from riskflow.operators import scoring as s
 from riskflow.operators import selection as v
+from riskflow.operators import stored_profiles as sp
 from riskflow.operators import warehouse as w
 from riskflow.operators.features import align_features, build_feature_store
 from riskflow.plans import model as ml
@@ -563,6 +564,28 @@ register("x18_summary_drift", lambda spark, sf: round_all(p.summary_drift(
          ROUND((k - m) / (s + 1e-5), 6) AS mean_shift, ROUND(t / s, 6) AS std_ratio FROM (SELECT feature_name, AVG(x) AS m, stddev_pop(x) AS s FROM bv GROUP BY 1)
          JOIN (SELECT feature_name, AVG(x) AS k, stddev_pop(x) AS t FROM cv GROUP BY 1) USING (feature_name)""")
 
+
+
+def x18_stored(spark, sf):
+    """Drift between two eras from profiles stored by day, each era read back by its days; the rows are read once, to store."""
+    old, new = eras(spark, sf)
+    path = staging_path(spark, "profiles")
+    for batch, rows in (("old", old), ("new", new)):
+        sp.store_profiles(sp.daily_profiles(rows, MEASURES, F.col("l_shipdate")), path, batch)
+    sides = [sp.merge_profiles(sp.stored_profiles(spark, path, *days)) for days in ((None, "1999-01-01"), ("1999-01-01", None))]
+    found = p.drift_status(sp.stored_drift(*sides)).join(sides[1].select("feature_name", "n", "low", "high"), "feature_name")
+    return round_all(found, 6, "mean_shift", "std_ratio").select(
+        "feature_name", F.col("n").alias("current_rows"), F.col("low").alias("current_min"), F.col("high").alias("current_max"), "mean_shift", "std_ratio", "status", "overall_drift_alert")
+
+
+register("x18_stored_profiles", x18_stored, "WITH " + ", ".join(PSI) + """ SELECT feature_name, current_rows, current_min, current_max,
+         ROUND((k - m) / (s + 1e-5), 6) AS mean_shift, ROUND(t / s, 6) AS std_ratio,
+         CASE WHEN psi >= 0.2 THEN 'HIGH_DRIFT' WHEN psi >= 0.1 THEN 'MODERATE_DRIFT' ELSE 'STABLE' END AS status,
+         (SELECT bool_or(psi >= 0.2) FROM ps) AS overall_drift_alert
+         FROM (SELECT feature_name, AVG(x) AS m, stddev_pop(x) AS s FROM bv GROUP BY 1)
+         JOIN (SELECT feature_name, AVG(x) AS k, stddev_pop(x) AS t, CAST(COUNT(*) AS BIGINT) AS current_rows, CAST(MIN(x) AS DOUBLE) AS current_min,
+               CAST(MAX(x) AS DOUBLE) AS current_max FROM cv GROUP BY 1) USING (feature_name) JOIN ps USING (feature_name)""")
+
 # ---- graph ----------------------------------------------------------------------------------------------------
 
 GRAPH = ["transaction_id", "ts", "from_account", "to_account", "amount_paid", "is_laundering"]

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from riskflow.catalog.feature_sql import EPS, PAID, RAW, d, features_sql, ratio, zero
-from riskflow.catalog.registry import TX_SQL, big, register, total, with_tx
+from riskflow.catalog.registry import ORACLES, TX_SQL, big, register, total, with_tx
 from riskflow.operators import online as o
 from riskflow.operators import velocity as v
 from riskflow.operators.features import FeatureConfig
 from riskflow.plans.analytics import account_state_lookup
+from riskflow.session import staging_path
+from riskflow.sources import keyed
 from riskflow.sources.files import new_history_rows
 from riskflow.sources.star_tables import table, transactions
 
@@ -190,6 +192,16 @@ register("a38_account_state_lookup", a38, with_tx(
        last_transaction_timestamp FROM st WHERE account_id IN ('A1', 'A7', 'A42')""", STATES))
 
 
+def a38_keyed(spark, sf):
+    """States of every account, laid out by account once; the look-up opens the folders of its accounts only."""
+    path = staging_path(spark, "states")
+    keyed.write_keyed(o.account_states(transactions(spark, sf, STATE_COLUMNS)), path, "account_id", folder_rows=1000)
+    return account_state_lookup(keyed.rows_of_keys(spark, path, "account_id", ["A1", "A7", "A42"]), ["A1", "A7", "A42"])
+
+
+register("a38_keyed_states", a38_keyed, ORACLES["a38_account_state_lookup"])
+
+
 def t13(spark, sf):
     """States after two overlapping batches, the second deduplicated against the first."""
     tx = transactions(spark, sf, ["transaction_id", *STATE_COLUMNS])

@@ -9,7 +9,7 @@ from riskflow.operators import warehouse as w
 from riskflow.plans.load import run_etl, staged_warehouse
 from riskflow.plans.profile import quality_pipeline
 from riskflow.session import staging_path
-from riskflow.sources import files
+from riskflow.sources import files, keyed
 from riskflow.sources.star_tables import TX_COLUMNS, table, transactions
 
 N = big("COUNT(*)")
@@ -91,6 +91,15 @@ def s9_lookup(spark, sf):
     return _doubles(files.history_of([early, late], wanted, "from_account"), "amount_paid")
 
 
+def s9_keyed(spark, sf):
+    """Transfers of all senders with a fraud after 2000, from a history that is laid out by sender."""
+    tx = transactions(spark, sf, ["transaction_id", "ts", "from_account", "amount_paid", "is_laundering"])
+    path = _fresh(spark, sf, "keyed_history")
+    keyed.write_keyed(tx, path, "from_account", ["ts", "transaction_id"], folder_rows=5000)
+    wanted = tx.where((F.col("is_laundering") == 1) & (F.year("ts") >= 2000)).select(F.col("from_account").alias("account"))
+    return _doubles(keyed.rows_of_table(spark, path, "from_account", wanted), "amount_paid")
+
+
 SELECT_TX = "SELECT * REPLACE (CAST(amount_paid AS DOUBLE) AS amount_paid, CAST(amount_received AS DOUBLE) AS amount_received) FROM tx"
 register("s1_read_write_parquet", s1_roundtrip, with_tx(SELECT_TX))
 register("s2_raw_csv", s2_raw_csv, with_tx("""
@@ -114,6 +123,10 @@ register("s9_history_lookup", s9_lookup, with_tx("""
            CASE WHEN year(ts) >= 1999 THEN 'late' ELSE 'early' END AS store
     FROM tx WHERE from_account IN (SELECT from_account FROM tx WHERE is_laundering = 1 AND year(ts) >= 2000)"""))
 
+register("s9_keyed_history", s9_keyed, with_tx("""
+    SELECT transaction_id, ts, from_account, CAST(amount_paid AS DOUBLE) AS amount_paid, is_laundering
+    FROM tx WHERE from_account IN (SELECT from_account FROM tx WHERE is_laundering = 1 AND year(ts) >= 2000)"""))
+
 
 # ---- cleaning -------------------------------------------------------------------------------------------------
 
