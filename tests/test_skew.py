@@ -1,6 +1,7 @@
 """One key holds most rows: the chunked route must give what plain windows and brute force give."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -131,3 +132,26 @@ def test_any_number_of_hot_keys(spark):
 def test_velocity_is_the_same_on_both_sides_of_the_limit(skewed):
     args = (skewed, "from_account", "ts", "amount_paid", "to_account")
     same(velocity.velocity_windows(*args, hot_limit=10_000), velocity.velocity_windows(*args, hot_limit=5, chunks=5))
+
+
+def test_days_as_chunks_give_the_same(skewed):
+    order = ["ts", "transaction_id"]
+    odd = skewed.withColumn("ts", F.when(F.col("transaction_id") < "T0020", None).otherwise(F.col("ts")))
+    groups = [([], {"n": ("sum", F.lit(1))}), (["from_account"], {"paid": ("sum", F.col("amount_paid")), "top": ("max", F.col("amount_paid"))})]
+    days = ordered.chunk_by_day(odd, order)
+    assert "_pos" not in days.columns and days.select("_chunk").distinct().count() > 2
+    by_day = ordered.scan(days, order, groups)
+    same(by_day, ordered.scan(ordered.lay_out(odd, order, 7), order, groups))
+    # a day above the limit is cut by range
+    large = ordered.chunk_by_day(odd, order, limit=10)
+    assert "_pos" in large.columns
+    same(by_day, ordered.scan(large, order, groups))
+
+
+def test_more_rows_are_scanned_in_more_tasks(skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 30)
+    order = ["ts", "transaction_id"]
+    found = ordered.scan(ordered.chunk_by_day(skewed, order), order, [([], {"n": ("sum", F.lit(1))})])
+    text = found._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(_chunk#\d+, 30\), REPARTITION_BY_NUM", text)
+    assert found.where(F.col("n").isNull()).count() == 1
