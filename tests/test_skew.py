@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskflow.operators import features, online, ordered, velocity
+from riskflow.operators import features, online, ordered, velocity, warehouse
 
 
 @pytest.fixture(scope="module")
@@ -155,3 +155,21 @@ def test_more_rows_are_scanned_in_more_tasks(skewed, monkeypatch):
     text = found._jdf.queryExecution().toString()
     assert re.search(r"hashpartitioning\(_chunk#\d+, 30\), REPARTITION_BY_NUM", text)
     assert found.where(F.col("n").isNull()).count() == 1
+
+
+@pytest.mark.parametrize("limit", [10, ordered.HOT_KEY_ROWS])
+def test_days_are_numbered_like_the_whole_table(skewed, monkeypatch, limit):
+    order = ["ts", "transaction_id"]
+    odd = skewed.withColumn("ts", F.when(F.col("transaction_id") < "T0020", None).otherwise(F.col("ts")))
+    written = ordered.chunk_by_day(odd, order, limit=limit)
+    found = ordered.number_days(written, written, order, "row_index")
+    same(found, ordered.global_index(odd, order))
+
+
+def test_facts_in_order_are_not_shuffled_again(skewed):
+    built = warehouse.build_warehouse(skewed)
+    assert built.in_order
+    text = built.fact._jdf.queryExecution().toString()
+    assert len(re.findall(r"Exchange rangepartitioning", text.split("== Physical Plan ==")[1])) == 1
+    numbered = ordered.global_index(skewed, ["ts", "transaction_id"], "transaction_key").select("transaction_key", "transaction_id")
+    same(built.fact.select("transaction_key", "transaction_id"), numbered)
