@@ -173,3 +173,22 @@ def test_facts_in_order_are_not_shuffled_again(skewed):
     assert len(re.findall(r"Exchange rangepartitioning", text.split("== Physical Plan ==")[1])) == 1
     numbered = ordered.global_index(skewed, ["ts", "transaction_id"], "transaction_key").select("transaction_key", "transaction_id")
     same(built.fact.select("transaction_key", "transaction_id"), numbered)
+
+
+def test_only_keys_over_several_chunks_are_carried(skewed):
+    laid = ordered.lay_out(skewed, ["from_account", "ts", "transaction_id"], 7)
+    parts = ordered._spanning_parts(laid, ["from_account"])
+    whole = laid.groupBy("from_account").agg(F.count_distinct("_chunk").alias("n")).where("n > 1").join(laid, "from_account")
+    same(parts.select("from_account", "_chunk"), whole.select("from_account", "_chunk").distinct())
+    assert parts.count() <= 14 < laid.select("from_account", "_chunk").distinct().count()
+
+
+def test_missing_amounts_are_not_looked_up(skewed):
+    from riskflow.plans import analytics
+
+    built = warehouse.build_warehouse(skewed)
+    fact = built.fact.withColumn("amount_paid", F.when(F.col("transaction_key") % 2 == 0, F.col("amount_paid")))
+    ranked = analytics.q41_percent_rank(warehouse.Warehouse(built.time, built.bank, built.account, built.currency, built.payment_format, fact))
+    assert "isnotnull(amount_paid" in ranked._jdf.queryExecution().toString() and "isnull(amount_paid" in ranked._jdf.queryExecution().toString()
+    missing = ranked.where("amount_paid IS NULL").agg(F.count("*"), F.min("pct_rank"), F.max("pct_rank"), F.min("cume_dist_val")).first()
+    assert tuple(missing) == (450, 450 / 899, 450 / 899, 1.0)
