@@ -74,3 +74,15 @@ def test_given_documents(spark, deduped):
     given = materialize(lines.remove_repeated(given)) if deduped else given
     rows = [(r["doc_id"], r["text"]) for r in given.select("doc_id", "text").collect()]
     assert ids(corpus_pipeline.near_duplicates(spark, given, "")) == plain_kept(rows)
+
+
+def test_band_keys_agree_as_often_as_min_hashes_do():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for both in (133, 178):
+        agreed, rounds = 0, 200
+        for _ in range(rounds):
+            a, b, c = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (200 - both, 200 - both, both))
+            agreed += (resemblance.band_keys(np.concatenate([a, c])) == resemblance.band_keys(np.concatenate([b, c]))).sum()
+        assert abs(agreed / rounds / resemblance.BANDS - (both / (400 - both)) ** resemblance.ROWS) < 0.03
