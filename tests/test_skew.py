@@ -192,3 +192,33 @@ def test_missing_amounts_are_not_looked_up(skewed):
     assert "isnotnull(amount_paid" in ranked._jdf.queryExecution().toString() and "isnull(amount_paid" in ranked._jdf.queryExecution().toString()
     missing = ranked.where("amount_paid IS NULL").agg(F.count("*"), F.min("pct_rank"), F.max("pct_rank"), F.min("cume_dist_val")).first()
     assert tuple(missing) == (450, 450 / 899, 450 / 899, 1.0)
+
+
+def test_rows_do_not_travel_to_the_account_look_up(skewed):
+    skewed.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = warehouse.build_warehouse(skewed)
+        jvm = skewed.sparkSession._jvm
+        text = built.fact._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        sent = re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\(account_number", text)
+        assert sent and not any("transaction_id" in columns for columns in sent)
+    finally:
+        skewed.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("limit", [10, ordered.HOT_KEY_ROWS])
+def test_accounts_without_a_row_keep_their_facts(skewed, monkeypatch, limit):
+    monkeypatch.setattr(ordered.chunk_by_day, "__defaults__", (None, limit))
+    odd = skewed.withColumn("to_account", F.when(F.col("transaction_id") >= "T0020", F.col("to_account")))
+    tx = warehouse.written_rows(odd)
+    assert ("_pos" in tx.columns) == (limit == 10)
+    bank, account = warehouse.build_dim_bank(tx), warehouse.build_dim_account(tx)
+    known = account.where("account_key > 1")
+    fact = warehouse.load_fact(tx, bank, known, warehouse.build_dim_currency(tx), warehouse.build_dim_payment_format(tx))
+    wanted = odd.select("transaction_id", "from_account", "to_account")
+    for side in ("from", "to"):
+        keys = known.select(F.col("account_number").alias(f"{side}_account"), F.col("account_key").alias(f"{side}_account_key"))
+        wanted = wanted.join(keys, f"{side}_account", "left").fillna(-1, [f"{side}_account_key"])
+    columns = ["transaction_id", "from_account_key", "to_account_key"]
+    same(fact.select(columns), wanted.select(columns))
+    assert fact.where("to_account_key = -1").count() >= 20
