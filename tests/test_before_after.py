@@ -19,3 +19,20 @@ def test_a_filter_is_counted_in_the_pass_over_all_rows(make_tx):
             assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     text = quality.before_after_filter(tx, F.col("is_laundering") == 1, ["from_account", "to_account"])._jdf.queryExecution().toString()
     assert len(re.findall("Exchange hashpartitioning", text.split("== Physical Plan ==")[1])) == 1
+
+
+def test_the_raw_rows_are_grouped_once(make_tx, monkeypatch):
+    from riskflow.operators import cleaning
+    from riskflow.plans.profile import quality_pipeline
+
+    rows = [(f"T{i}", f"2024-01-0{1 + i % 3} 10:00:00", "A1", f"A{i % 4}", 1 + i % 2, 0) for i in range(24)]
+    raw = make_tx(rows).drop("transaction_id").toDF("Timestamp", "From_Bank", "From_Account", "To_Bank", "To_Account", "Amount_Paid", "Payment_Currency",
+                                                   "Amount_Received", "Receiving_Currency", "Payment_Format", "Is_Laundering")
+    raw = raw.withColumn("To_Bank", F.when(F.col("To_Account") != "A2", F.col("To_Bank")))
+    order = ["Timestamp", "To_Account", "Amount_Paid"]
+    plain = quality.before_after(raw, cleaning.clean(raw, order))
+    monkeypatch.setattr(cleaning, "drop_exact_duplicates", None)  # a second grouping of the raw rows
+    out = quality_pipeline(raw, order, "2025-01-01 00:00:00", ["USD"], ["ACH"])
+    assert sorted(map(tuple, out["before_after"].collect())) == sorted(map(tuple, plain.collect()))
+    assert out["before_after"].where("metric = 'Missing Values'").first()["before"] == 6
+    assert out["cleaned"].count() == 12 and out["cleaned"].select("TransactionID").distinct().count() == 12
