@@ -74,3 +74,15 @@ def test_queries_list_five_accounts(spark, make_tx, monkeypatch):
     assert [tuple(r) for r in QUERIES["g2_node_set_cycles"](spark, "").collect()] == [("N0,N1,N2,N3,N4", 5, 1)]
     levels = {r["transaction_id"]: r["cluster_risk_level"] for r in QUERIES["g4_ring_risk"](spark, "").collect()}
     assert levels == {**{f"r{k}": "CRITICAL" for k in range(5)}, "o1": "HIGH"}
+
+
+def test_membership_groups_the_transfers_once(make_tx, monkeypatch):
+    tx = make_tx([("T1", "2024-01-01 10:00:00", "A1", "A2", 1, 0), ("T2", "2024-01-01 10:00:00", "A2", "A1", 1, 0),
+                  ("T3", "2024-01-01 10:00:00", "A2", "A3", 1, 0)])
+    written = []
+    plain = graph.materialize
+    for name in ("materialize", "sized"):
+        monkeypatch.setattr(graph, name, lambda df: written.append(df._jdf.queryExecution().toString()) or plain(df))
+    found = graph.cycle_members(graph.build_edges(tx))
+    assert sorted(r["id"] for r in found.collect()) == ["A1", "A2"]
+    assert sum("ExistingRDD" in text or "LogicalRDD" in text for text in written) == 1
