@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.numbers import count_rows
 from riskflow.functions.rows import null_safe_join
-from riskflow.operators.online import STATE_SUMS, account_sums, point_in_time_features
+from riskflow.operators.online import STATE_SUMS, account_sums, point_in_time_features, point_in_time_within  # noqa: F401
 from riskflow.operators.ordered import over_chunks
 from riskflow.operators.velocity import velocity_windows, with_previous_time
+from riskflow.session import materialize
 from riskflow.streaming.sources import BatchTable, FoldedTable, newest, run_available
 
 
@@ -57,9 +58,9 @@ def current_states(spark: SparkSession, path: str) -> DataFrame:
     return FoldedTable(spark, f"{path}/states", _add_states).read().withColumns({c: F.col(c).cast("double") for c in STATE_SUMS})
 
 
-def _later_rows(stored: DataFrame, fresh: DataFrame, keys: list[str], seconds: int | None) -> DataFrame:
-    """Stored rows that a fresh one precedes on one of the ``keys``, by ``seconds`` at most. Fresh rows are one row per
-    key in the join, so no stored row is multiplied."""
+def _mark_later(stored: DataFrame, fresh: DataFrame, keys: list[str], seconds: int | None) -> DataFrame:
+    """``_owed`` is true for stored rows that a fresh one precedes on one of the ``keys``, by ``seconds`` at most. Fresh rows are
+    one row per key in the join, so no stored row is multiplied."""
     touched: Column = F.lit(False)
     rows = stored
     for key in keys:
@@ -69,7 +70,7 @@ def _later_rows(stored: DataFrame, fresh: DataFrame, keys: list[str], seconds: i
         if seconds is not None:
             after &= F.col("ts") <= F.col(f"_high_{key}") + F.make_dt_interval(secs=F.lit(seconds))
         touched |= F.coalesce(after, F.lit(False))
-    return rows.where(touched).select(*stored.columns)
+    return rows.select(*stored.columns, touched.alias("_owed"))
 
 
 # ---- sliding velocity -----------------------------------------------------------------------------------------
@@ -95,7 +96,7 @@ def velocity_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "e
         marked = fresh.select(*columns, F.lit(True).alias("_owed"))
         if stored is not None:
             near = stored.where((F.col("day") >= F.date_sub(F.lit(days["low"]), 1)) & (F.col("day") <= F.date_add(F.lit(days["high"]), 1))).select(*columns)
-            again = _later_rows(near, fresh, [account, other], 86_400).select(key)
+            again = _mark_later(near, fresh, [account, other], 86_400).where("_owed").select(key)
             marked = marked.unionByName(null_safe_join(near, again.withColumn("_owed", F.lit(True)), [key], "left").withColumn("_owed", F.coalesce("_owed", F.lit(False))))
         sent = velocity_windows(marked, account, "ts", amount, other, **limit).withColumn(
             "avg_24h", F.when(F.col("count_24h") > 0, F.col("volume_24h") / F.col("count_24h")))
@@ -188,12 +189,13 @@ def scoring_stream(stream: DataFrame, history_path: str, scores_path: str, check
         history.write(batch, batch_id)
         fresh = spark.read.schema(batch.schema).parquet(f"{history_path}/run={history.run}/batch_id={batch_id}")
         stored = history.before(batch_id)
-        rows, seen = fresh, fresh
+        if fresh.isEmpty():  # only keys that came before: no score changes
+            return
+        marked = fresh.withColumn("_owed", F.lit(True))
         if stored is not None:
-            stored = stored.select(*batch.columns)
-            seen = fresh.unionByName(stored)
-            rows = fresh.unionByName(_later_rows(stored, fresh, ["from_account", "to_account"], None))
-        scores.write_version(score(point_in_time_features(rows, seen)), batch_id)
+            # written, because every step below reads it
+            marked = materialize(marked.unionByName(_mark_later(stored.select(*batch.columns), fresh, ["from_account", "to_account"], None)))
+        scores.write_version(score(point_in_time_within(marked)), batch_id)
 
     return run_available(first_seen(stream, key, history), sink, checkpoint)
 

@@ -109,6 +109,54 @@ def test_only_later_rows_of_touched_accounts_are_scored_again(spark, make_tx, fe
     assert {r[0]: r[1] for r in written} == {"1": 1, "2": 2, "3": 2, "4": 1, "5": 1}
 
 
+def odd_rows(spark):
+    """Equal times, busy receivers, and rows without a sender, a receiver or an amount."""
+    from decimal import Decimal
+    from random import Random
+
+    rng = Random(7)
+    rows = [(f"T{i}", START + timedelta(hours=rng.randrange(90)), rng.choice(("A", "B", "C", None)), rng.choice(("x", "x", "x", "y", None)),
+             rng.choice((Decimal(i), Decimal(i), None)), Decimal(i)) for i in range(160)]
+    return spark.createDataFrame(rows, "transaction_id string, ts timestamp_ntz, from_account string, to_account string, amount_paid decimal(18,2), amount_received decimal(18,2)").withColumns(
+        {"from_bank": F.lit(1), "to_bank": F.lit(2), "payment_currency": F.lit("USD"), "receiving_currency": F.lit("USD"), "payment_format": F.lit("ACH")})
+
+
+@pytest.mark.parametrize("limit", [None, 60, 20])
+def test_features_within_a_table_are_those_against_it_as_history(spark, limit):
+    """No hot account, a receiver cut by day, and one with too many rows in a day."""
+    from riskflow.operators import online
+    from riskflow.operators.features import FeatureConfig
+
+    rows = odd_rows(spark)
+    owed = F.col("ts") >= F.lit(str(START + timedelta(hours=30))).cast("timestamp_ntz")
+    want = online.point_in_time_features(rows.where(owed), rows)
+    got = online.point_in_time_within(rows.withColumn("_owed", owed), cfg=FeatureConfig(hot_limit=limit, chunks=5)).select(*want.columns)
+    assert got.count() == rows.where(owed).count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    plain = {r["transaction_id"]: r for r in rows.collect()}
+    for r in got.collect():
+        before = [x for x in plain.values() if x["from_account"] == r["from_account"] and x["ts"] < r["ts"]]
+        assert r["account_transaction_count"] == len(before) and r["account_total_paid"] == float(sum(x["amount_paid"] or 0 for x in before))
+        assert r["account_total_received"] == float(sum(x["amount_received"] for x in plain.values() if x["to_account"] == r["to_account"] and x["ts"] < r["ts"]))
+
+
+def test_a_busy_receiver_costs_nothing_if_no_score_reads_it(spark, make_tx, feed, tmp_path, monkeypatch):
+    """Its history is not laid out; and a batch that only repeats stored rows writes no scores."""
+    from riskflow.operators import ordered
+
+    history, scores, laid = str(tmp_path / "h"), str(tmp_path / "s"), []
+    monkeypatch.setattr(ordered.locate_hot_keys, "__defaults__", (15,))
+    monkeypatch.setattr(ordered, "lay_out", lambda df, *rest, f=ordered.lay_out: laid.append(df.columns) or f(df, *rest))
+    score = lambda df: df.select("transaction_id", "account_transaction_count", "account_total_paid")
+    for part in (range(20, 40), range(20), range(20, 30)):
+        feed(tx(make_tx, part), lambda stream, at: jobs.scoring_stream(stream, history, scores, at, score))
+    got = {r[0]: (r[1], r[2]) for r in jobs.stored_scores(spark, scores).select("transaction_id", "account_transaction_count", "account_total_paid").collect()}
+    assert got == {f"T{i}": (i // 3, sum(j + 1 for j in range(i % 3, i, 3))) for i in range(40)}
+    assert not laid
+    assert spark.read.parquet(scores).select("run", "batch_id").distinct().count() == 2
+    assert len(list((tmp_path / "s").glob("run=*/batch_id=*"))) == 2
+
+
 @pytest.mark.parametrize("order", ORDERS)
 @pytest.mark.parametrize("hot_limit", [None, 3])
 def test_velocity_does_not_depend_on_the_order_of_arrival(spark, feed, tmp_path, order, hot_limit):
