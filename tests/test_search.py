@@ -57,3 +57,25 @@ def test_folds_of_one_class_and_empty_tables(spark):
     one_class = folds(spark).withColumn("is_laundering", F.when(F.col("fold") == 1, 0).otherwise(F.col("is_laundering")))
     assert ml.search(one_class, setting, NUMERIC, resources=(1.0,)).first()["folds"] == 1
     assert ml.search(folds(spark).where("id < 0"), setting, NUMERIC, resources=(1.0,)).count() == 0
+
+
+def test_preprocessing_fills_with_exact_medians(spark):
+    rows = [(float(i), None if i % 3 else float(i * i), float("nan") if i % 2 else 1.0 + i) for i in range(40)]
+    df = ml.prepare(spark.createDataFrame(rows, "a double, b double, n double"), ["a", "b", "n"])
+    filled = ml.fit_preprocessing(df, ["a", "b", "n"]).stages[0].surrogateDF.first()
+    known = [sorted(v for r in rows if (v := r[k]) is not None and v == v) for k in range(3)]
+    assert [filled[c] for c in ("a", "b", "n")] == [(k[(len(k) - 1) // 2] + k[len(k) // 2]) / 2 for k in known]
+
+
+def test_model_queries_compute_what_they_need(spark, sf, monkeypatch):
+    """The rows and their preprocessing need no fitted model, and the weights need no scores."""
+    import riskflow.catalog.model_entries as entries
+
+    monkeypatch.setattr(entries, "_TRAINED", {})
+    monkeypatch.setattr(ml, "score", None)
+    monkeypatch.setattr(ml, "fit_calibrator", None)
+    fits = []
+    plain = ml.fit
+    monkeypatch.setattr(ml, "fit", lambda *a, **k: fits.append(a[1]) or plain(*a, **k))
+    assert entries.m5(spark, sf).count() == 6000 and not fits
+    assert entries.candidate(spark, sf, "logistic_regression") is entries.candidate(spark, sf, "logistic_regression") and fits == ["logistic_regression"]
