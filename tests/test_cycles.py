@@ -86,3 +86,21 @@ def test_membership_groups_the_transfers_once(make_tx, monkeypatch):
     found = graph.cycle_members(graph.build_edges(tx))
     assert sorted(r["id"] for r in found.collect()) == ["A1", "A2"]
     assert sum("ExistingRDD" in text or "LogicalRDD" in text for text in written) == 1
+
+
+def test_the_longest_halves_are_not_written(make_tx, monkeypatch):
+    """Half-walks of three steps are used once; no written or sent half holds an array of names."""
+    tx = make_tx(ring(5))
+    written, plain = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(df) or plain(df))
+    found = graph.find_cycles(graph.build_edges(tx))
+    assert [r["cycle_path"] for r in found.collect()] == ["N0>N1>N2>N3>N4"]
+    assert not any("p2" in df.columns for df in written)
+    assert not any(kind.startswith("array") for df in written for _, kind in df.dtypes)
+
+
+def test_longer_cycles_too(spark):
+    pairs = [(f"n{i}", f"n{(i + k) % 9}") for i in range(9) for k in (1, 4)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, amount double")
+    for most in (2, 3, 6, 7):
+        assert sorted(r["cycle_path"] for r in graph.find_cycles(edges, most).collect()) == plain_cycles(pairs, most)
